@@ -333,7 +333,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, block_chars: int
     blocks = materialize(pretoken_blocks(docs, path, block_chars), "pretoken-blocks")
     names = blocks.where("pretoken is not null").select("block", "col", "pretoken")
     counted = count_pieces(names.select("pretoken").distinct(), path)
-    pieces = names.join(counted.hint("shuffle_hash"), "pretoken").select("block", "col", "n_pieces")
+    pieces = names.join(counted.hint("shuffle_hash"), "pretoken").select(F.col("block").alias("of_block"), "col", "n_pieces")
     matrices = blocks.where("pretoken is null").select("block", "ids", "bytes", "special", "ends", "cols", "freqs")
 
     def total(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -345,4 +345,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, block_chars: int
         n = sums[ends[1:]] - sums[ends[:-1]] + np.array(row["special"], np.int64)
         return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "n_bytes": pa.array(row["bytes"], pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array(n > limit)})
 
-    return matrices.groupBy("block").cogroup(pieces.groupBy("block")).applyInArrow(total, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return matrices.groupBy("block").cogroup(pieces.groupBy("of_block")).applyInArrow(total, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
