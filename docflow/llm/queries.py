@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from docflow.llm import chat, sharding, word_bpe
+from docflow.llm import chat, packing, sharding, word_bpe
 
 
 def _table(spark, sf_dir, name):
@@ -27,6 +27,10 @@ def op7_virtual_slots(spark, sf_dir):
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_bpe_roundtrip, op6_chat_perspectives, op7_virtual_slots)}
+def op8_best_fit_packing(spark, sf_dir):
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_bpe_roundtrip, op6_chat_perspectives, op7_virtual_slots, op8_best_fit_packing)}
 
 ORACLE_SQL = {"op6_chat_perspectives": chat.ROTATE_SQL}
