@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from docflow.llm import chat, packing, sharding, word_bpe
+from docflow.llm import chat, licenses, packing, rules, sharding, word_bpe
 
 
 def _table(spark, sf_dir, name):
@@ -31,6 +31,17 @@ def op8_best_fit_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_bpe_roundtrip, op6_chat_perspectives, op7_virtual_slots, op8_best_fit_packing)}
+def op9_license_scan(spark, sf_dir):
+    return licenses.scan_documents(_table(spark, sf_dir, "documents"))
+
+
+def op10_rule_cascade(spark, sf_dir):
+    return rules.judge(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op2_token_counts, op3_bpe_roundtrip, op6_chat_perspectives, op7_virtual_slots, op8_best_fit_packing, op9_license_scan, op10_rule_cascade)
+}
 
 ORACLE_SQL = {"op6_chat_perspectives": chat.ROTATE_SQL}
