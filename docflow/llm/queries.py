@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from docflow.llm import chat, licenses, packing, rules, sharding, word_bpe
+from docflow.llm import chat, classifier, licenses, packing, rules, sharding, word_bpe
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return classifier.score(docs, classifier.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op2_token_counts(spark, sf_dir):
     return word_bpe.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -41,7 +46,7 @@ def op10_rule_cascade(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_token_counts, op3_bpe_roundtrip, op6_chat_perspectives, op7_virtual_slots, op8_best_fit_packing, op9_license_scan, op10_rule_cascade)
+    for f in (op1_quality_classifier, op2_token_counts, op3_bpe_roundtrip, op6_chat_perspectives, op7_virtual_slots, op8_best_fit_packing, op9_license_scan, op10_rule_cascade)
 }
 
 ORACLE_SQL = {"op6_chat_perspectives": chat.ROTATE_SQL}
