@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from docflow.llm import chat, classifier, licenses, ngram_join, packing, rules, sharding, word_bpe
+from pyspark.sql import functions as F
+
+from docflow.llm import chat, classifier, knn, licenses, ngram_join, packing, rules, sharding, word_bpe
 
 
 def _table(spark, sf_dir, name):
@@ -28,6 +30,10 @@ def op4_ngram_jaccard(spark, sf_dir):
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
+def op5_voronoi_knn(spark, sf_dir):
+    return knn.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_chat_perspectives(spark, sf_dir):
     return chat.rotate(_table(spark, sf_dir, "conversations"))
 
@@ -50,7 +56,7 @@ def op10_rule_cascade(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_token_counts, op3_bpe_roundtrip, op4_ngram_jaccard, op6_chat_perspectives, op7_virtual_slots, op8_best_fit_packing, op9_license_scan, op10_rule_cascade)
+    for f in (op1_quality_classifier, op2_token_counts, op3_bpe_roundtrip, op4_ngram_jaccard, op5_voronoi_knn, op6_chat_perspectives, op7_virtual_slots, op8_best_fit_packing, op9_license_scan, op10_rule_cascade)
 }
 
-ORACLE_SQL = {"op6_chat_perspectives": chat.ROTATE_SQL}
+ORACLE_SQL = {"op5_voronoi_knn": knn.SEARCH_SQL, "op6_chat_perspectives": chat.ROTATE_SQL}
