@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from docflow.plans import corpus_queries, entity_queries, platform_queries, retrieval_queries, structure_queries, text_queries  # noqa: F401
+from docflow.plans.common import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
