@@ -182,8 +182,8 @@ def element_page(element: Column) -> Column:
 
 
 def detect_format(text: Column) -> Column:
-    """Json, else markdown if the first line is a heading, else mixed."""
-    return F.when(F.try_parse_json(text).isNotNull(), "json").when(text.rlike(r"^#{1,6}\s+[^\n]+$") | text.rlike(r"\A#{1,6}\s+[^\n]+\Z"), "markdown").otherwise("mixed")
+    """Json, else markdown if the text is one heading line, else mixed."""
+    return F.when(F.try_parse_json(text).isNotNull(), "json").when(text.rlike(r"^#{1,6}\s+[^\n]+$"), "markdown").otherwise("mixed")
 
 
 def prompt(system: Column, context: Column, question: Column) -> Column:

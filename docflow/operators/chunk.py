@@ -144,10 +144,10 @@ def chunk_elements(elements: DataFrame, config: ChunkConfig = ChunkConfig()) ->
         full = (acc["held"] > 0) & (acc["held"] + x["tokens"] > config.target_tokens)
         return F.struct(
             F.when(full, x["tokens"]).otherwise(acc["held"] + x["tokens"]).alias("held"), F.when(full, acc["chunk"] + 1).otherwise(acc["chunk"]).alias("chunk"),
-            F.concat(acc["out"], F.array(F.struct(F.when(full, acc["chunk"] + 1).otherwise(acc["chunk"]).alias("chunk"), x["idx"].alias("idx"), x["text"].alias("text")))).alias("out"),
+            F.concat(acc["out"], F.array(F.struct(F.when(full, acc["chunk"] + 1).otherwise(acc["chunk"]).alias("chunk"), x["idx"].cast("long").alias("idx"), x["text"].alias("text")))).alias("out"),
         )
 
-    start = F.struct(F.lit(0).alias("held"), F.lit(0).alias("chunk"), F.array().cast("array<struct<chunk:int,idx:int,text:string>>").alias("out"))
+    start = F.struct(F.lit(0).alias("held"), F.lit(0).alias("chunk"), F.array().cast("array<struct<chunk:int,idx:bigint,text:string>>").alias("out"))
     packed = elements.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", "text", "tokens"))).alias("xs")).select("doc_id", F.inline(F.aggregate("xs", start, fold)["out"]))
     return packed.groupBy("doc_id", "chunk").agg(F.array_join(F.sort_array(F.collect_list(F.struct("idx", "text")))["text"], "\n\n").alias("content"))
 

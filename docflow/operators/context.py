@@ -6,6 +6,7 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from docflow.config import HISTORY_LENGTH
 from docflow.functions.text import token_estimate
@@ -50,7 +51,7 @@ def generate(prompts: DataFrame, model: LanguageModel | None = None) -> DataFram
         for pdf in batches:
             yield pdf.assign(answer=model.generate(list(pdf["prompt"])))
 
-    return prompts.mapInPandas(run, prompts.schema.add("answer", "string"))
+    return prompts.mapInPandas(run, StructType([*prompts.schema.fields, StructField("answer", StringType())]))
 
 
 def last_history(history: DataFrame, key: str, order: Column, n: int = HISTORY_LENGTH) -> DataFrame:

@@ -43,9 +43,9 @@ def pack_rows(rows: DataFrame) -> DataFrame:
     def fold(acc: Column, x: Column) -> Column:
         full = (acc["held"] > 0) & (acc["held"] + x["tokens"] > acc["room"])
         part = F.when(full, acc["part"] + 1).otherwise(acc["part"])
-        return F.struct(acc["room"].alias("room"), F.when(full, x["tokens"]).otherwise(acc["held"] + x["tokens"]).alias("held"), part.alias("part"), F.concat(acc["out"], F.array(F.struct(part.alias("part"), x["row_index"].alias("row_index"), x["line"].alias("line")))).alias("out"))
+        return F.struct(acc["room"].alias("room"), F.when(full, x["tokens"]).otherwise(acc["held"] + x["tokens"]).alias("held"), part.alias("part"), F.concat(acc["out"], F.array(F.struct(part.alias("part"), x["row_index"].cast("long").alias("row_index"), x["line"].alias("line")))).alias("out"))
 
-    start = F.struct(room.cast("int").alias("room"), F.lit(0).alias("held"), F.lit(1).alias("part"), F.array().cast("array<struct<part:int,row_index:int,line:string>>").alias("out"))
+    start = F.struct(room.cast("int").alias("room"), F.lit(0).alias("held"), F.lit(1).alias("part"), F.array().cast("array<struct<part:int,row_index:bigint,line:string>>").alias("out"))
     folded = each.select("table_id", head["line"].alias("head"), F.aggregate(body, start, fold)["out"].alias("out"))
     flat = folded.select("table_id", "head", F.inline_outer("out"))
     parts = flat.groupBy("table_id", "head", F.coalesce("part", F.lit(1)).alias("part")).agg(F.sort_array(F.collect_list(F.struct("row_index", "line")))["line"].alias("lines"))

@@ -15,7 +15,7 @@ def docs(spark, sf):
     return table(spark, sf, "documents")
 
 
-@query("SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS distinct_keys, count_if(n > 1) AS duplicated_keys, CAST(sum(n - 1) AS BIGINT) AS surplus FROM (SELECT text, count(*) AS n FROM documents GROUP BY 1)")
+@query("SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS distinct_keys, count(*) FILTER (n > 1) AS duplicated_keys, CAST(sum(n - 1) AS BIGINT) AS surplus FROM (SELECT text, count(*) AS n FROM documents GROUP BY 1)")
 def dup_analysis(spark, sf):
     return maintenance.duplicate_summary(docs(spark, sf).select(F.md5("text").alias("k")), "k")
 
@@ -77,7 +77,7 @@ def collection_stats(spark, sf):
     return table(spark, sf, "embeddings").agg(F.count("*").alias("row_count"), F.countDistinct("label").alias("labels"), F.min(F.size("embedding")).alias("dim"))
 
 
-@query("SELECT count(*) AS total, count_if(quality IS NOT NULL) AS labelled, count_if(quality = 1) AS good, count_if(toxic = 1) AS toxic, count_if(lang = 'en') AS english FROM documents LEFT JOIN labels USING (doc_id)")
+@query("SELECT count(*) AS total, count(*) FILTER (quality IS NOT NULL) AS labelled, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic, count(*) FILTER (lang = 'en') AS english FROM documents LEFT JOIN labels USING (doc_id)")
 def dump_counts(spark, sf):
     d = docs(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left")
     return d.agg(F.count("*").alias("total"), F.count_if(F.col("quality").isNotNull()).alias("labelled"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("lang") == "en").alias("english"))
@@ -90,7 +90,7 @@ def processing_summary(spark, sf):
 
 @query(f"SELECT doc_id, lang, {sql_preview('text')} AS content_preview FROM documents")
 def export_sample(spark, sf):
-    return sinks.export_sample(docs(spark, sf).select("doc_id", "lang", F.col("text").alias("content")).withColumnRenamed("content", "content").withColumn("content", F.col("content")), True).select("doc_id", "lang", "content_preview")
+    return sinks.export_sample(docs(spark, sf).select("doc_id", "lang", F.col("text").alias("content")), True).select("doc_id", "lang", "content_preview")
 
 
 @query(f"""WITH w AS (SELECT CAST(len({sql_words('text')}) AS DOUBLE) AS v FROM documents) SELECT count(*) AS n, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median, round(stddev_pop(v), 6) AS std, min(v) AS min, max(v) AS max,

@@ -132,9 +132,9 @@ METRICS = f"""WITH {RANKED}, qrels AS (SELECT q.vec_id AS query_id, d.vec_id AS
 judged AS (SELECT query_id, count(*) AS n_relevant FROM qrels WHERE relevance > 0 GROUP BY 1), ks AS (SELECT unnest([1, 3, 5, 10, 20]) AS k),
 hits AS (SELECT r.query_id, rank, coalesce(relevance, 0) AS gain FROM ranked r LEFT JOIN qrels j ON j.query_id = r.query_id AND j.doc_id = r.vec_id WHERE rank <= 20),
 run AS (SELECT *, sum(CAST(gain > 0 AS INTEGER)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS so_far FROM hits),
-at AS (SELECT query_id, k, count_if(gain > 0) AS hits, sum(gain / log2(rank + 1)) AS dcg, sum(CASE WHEN gain > 0 THEN so_far / rank ELSE 0 END) AS precisions FROM run, ks WHERE rank <= k GROUP BY ALL),
+cut AS (SELECT query_id, k, count_if(gain > 0) AS hits, sum(gain / log2(rank + 1)) AS dcg, sum(CASE WHEN gain > 0 THEN so_far / rank ELSE 0 END) AS precisions FROM run, ks WHERE rank <= k GROUP BY ALL),
 ideal AS (SELECT query_id, k, sum(relevance / log2(i + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, doc_id) AS i FROM qrels), ks WHERE i <= k GROUP BY ALL),
-m AS (SELECT k, hits / k AS precision, hits / n_relevant AS recall, dcg / idcg AS ndcg, precisions / n_relevant AS ap FROM at JOIN judged USING (query_id) JOIN ideal USING (query_id, k))
+m AS (SELECT k, hits / k AS precision, hits / n_relevant AS recall, dcg / idcg AS ndcg, precisions / n_relevant AS ap FROM cut JOIN judged USING (query_id) JOIN ideal USING (query_id, k))
 SELECT k, round(avg({{}}), 6) AS {{}} FROM m GROUP BY k"""
 
 

@@ -96,7 +96,7 @@ def toc_entries(spark, sf):
     return structure.toc_entries(markdown(docs(spark, sf)))
 
 
-@query(f"""WITH {HEADS} SELECT doc_id, count_if(level = 1) AS titles, count_if(level = 2) AS sections, count_if(level >= 3) AS subsections, array_to_string(list_sort(list_distinct(list(level))), ',') AS levels FROM h GROUP BY 1""")
+@query(f"""WITH {HEADS} SELECT doc_id, count(*) FILTER (level = 1) AS titles, count(*) FILTER (level = 2) AS sections, count(*) FILTER (level >= 3) AS subsections, array_to_string(list_sort(list_distinct(list(level))), ',') AS levels FROM h GROUP BY 1""")
 def structure_info(spark, sf):
     level = F.col("level")
     return heads(spark, sf).groupBy("doc_id").agg(F.count_if(level == 1).alias("titles"), F.count_if(level == 2).alias("sections"), F.count_if(level >= 3).alias("subsections"), F.array_join(F.sort_array(F.collect_set("level")), ",").alias("levels"))
@@ -185,10 +185,10 @@ ELEMENTS = "SELECT doc_id % 97 AS doc_id, CAST(doc_id * 12 + n AS INTEGER) AS id
 
 def parts(spark, sf):
     d = docs(spark, sf)
-    return d.select(F.col("doc_id").cast("string").alias("chunk_id"), (F.col("doc_id") % 97).alias("doc_id"), F.when(F.col("doc_id") % 3 == 0, F.upper(F.get(F.split("text", "\n"), 0))).otherwise(F.col("text")).alias("content"), (F.col("doc_id") % 10).cast("int").alias("page"))
+    return d.select(F.col("doc_id").cast("string").alias("chunk_id"), (F.col("doc_id") % 97).alias("doc_id"), F.when((F.col("doc_id") % 3 == 0) & (F.col("lang") == "en"), F.upper(F.get(F.split("text", "\n"), 0))).otherwise(F.col("text")).alias("content"), (F.col("doc_id") % 10).cast("int").alias("page"))
 
 
-PARTS = "SELECT CAST(doc_id AS VARCHAR) AS chunk_id, doc_id % 97 AS doc_id, CASE WHEN doc_id % 3 = 0 THEN upper(string_split(text, chr(10))[1]) ELSE text END AS content, CAST(doc_id % 10 AS INTEGER) AS page FROM documents"
+PARTS = "SELECT CAST(doc_id AS VARCHAR) AS chunk_id, doc_id % 97 AS doc_id, CASE WHEN doc_id % 3 = 0 AND lang = 'en' THEN upper(string_split(text, chr(10))[1]) ELSE text END AS content, CAST(doc_id % 10 AS INTEGER) AS page FROM documents"
 
 
 def norm(x):

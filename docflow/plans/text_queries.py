@@ -191,12 +191,12 @@ def chunks(spark, sf):
 
 C1, C2 = f"list_distinct({sql_words('lower(content)')})", f"list_distinct({sql_words('lower(next_content)')})"
 PAIRS = f"""WITH c AS ({CHUNKS}), n AS (SELECT *, lead(section_path) OVER w AS next_path, lead(content) OVER w AS next_content FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)),
-p AS (SELECT *, len({C1}) > 0 AND len(list_intersect({C1}, {C2})) / len(list_distinct(list_concat({C1}, {C2}))) > 0.6 AS similar,
+p AS (SELECT *, len({C1}) > 0 AND len(list_intersect({C1}, {C2})) / len(list_distinct(list_concat({C1}, {C2}))) > 0.6 AS alike,
  section_path = next_path OR next_path[1:len(section_path)] = section_path OR section_path[1:len(next_path)] = next_path
  OR (len(section_path) = len(next_path) AND len(list_filter(list_zip(section_path, next_path), lambda z: z[1] <> z[2])) <= 1) AS related FROM n WHERE next_content IS NOT NULL)"""
 
 
-@query(PAIRS + " SELECT doc_id, chunk_index, (related OR similar) AS mergeable FROM p")
+@query(PAIRS + " SELECT doc_id, chunk_index, (related OR alike) AS mergeable FROM p")
 def mergeable_pairs(spark, sf):
     from pyspark.sql import Window
 
@@ -206,7 +206,7 @@ def mergeable_pairs(spark, sf):
 
 
 MERGE = PAIRS.replace("FROM n WHERE next_content IS NOT NULL)", "FROM n)") + f""",
-f AS (SELECT *, coalesce(next_content IS NOT NULL AND len({sql_words('content')}) < 50 AND (related OR similar), false) AS flag FROM p),
+f AS (SELECT *, coalesce(next_content IS NOT NULL AND len({sql_words('content')}) < 50 AND (related OR alike), false) AS flag FROM p),
 g AS (SELECT *, sum(CASE WHEN flag THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS UNBOUNDED PRECEDING) - CASE WHEN flag THEN 0 ELSE 1 END AS island FROM f),
 h AS (SELECT *, flag AND row_number() OVER (PARTITION BY doc_id, island ORDER BY chunk_index) % 2 = 1 AS merges FROM g),
 i AS (SELECT *, coalesce(lag(merges) OVER (PARTITION BY doc_id ORDER BY chunk_index), false) AS gone FROM h)
@@ -219,7 +219,7 @@ def merge_small(spark, sf):
     return clean.merge_small(chunks(spark, sf)).select("doc_id", "chunk_index", F.array_join("section_path", "/").alias("path"), "content", "merges")
 
 
-@query(f"""WITH w AS (SELECT len({sql_words('text')}) AS v FROM documents) SELECT count_if(v < 50) AS very_short, count_if(v > 500) AS very_long, count_if(v BETWEEN 100 AND 300) AS optimal,
+@query(f"""WITH w AS (SELECT len({sql_words('text')}) AS v FROM documents) SELECT count(*) FILTER (v < 50) AS very_short, count(*) FILTER (v > 500) AS very_long, count(*) FILTER (v BETWEEN 100 AND 300) AS optimal,
  round(100.0::DOUBLE * count_if(v < 50) / count(*), 6) AS short_pct, round(100.0::DOUBLE * count_if(v > 500) / count(*), 6) AS long_pct, round(100.0::DOUBLE * count_if(v BETWEEN 100 AND 300) / count(*), 6) AS optimal_pct FROM w""")
 def chunk_size_flags(spark, sf):
     return size_flags(docs(spark, sf), t.word_count(TEXT))
