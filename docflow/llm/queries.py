@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from docflow.llm import chat, classifier, knn, licenses, ngram_join, packing, rules, sharding, word_bpe
+from docflow.llm import chat, classifier, knn, licenses, ngram_join, oracles, packing, rules, sharding, word_bpe
 
 
 def _table(spark, sf_dir, name):
@@ -59,4 +59,6 @@ QUERIES = {
     for f in (op1_quality_classifier, op2_token_counts, op3_bpe_roundtrip, op4_ngram_jaccard, op5_voronoi_knn, op6_chat_perspectives, op7_virtual_slots, op8_best_fit_packing, op9_license_scan, op10_rule_cascade)
 }
 
-ORACLE_SQL = {"op5_voronoi_knn": knn.SEARCH_SQL, "op6_chat_perspectives": chat.ROTATE_SQL}
+ORACLE_SQL = {
+    "op4_ngram_jaccard": oracles.NGRAM_JACCARD_SQL, "op10_rule_cascade": oracles.RULES_SQL, "op5_voronoi_knn": knn.SEARCH_SQL, "op6_chat_perspectives": chat.ROTATE_SQL,
+}
