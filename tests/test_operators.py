@@ -261,3 +261,56 @@ def test_event_streams(spark, sf, tmp_path):
     assert events.deduplicated(stream).isStreaming
     events.log_batches(stream, str(tmp_path / "log"), str(tmp_path / "mark"))
     assert spark.read.json(str(tmp_path / "log")).count() == batch.count()
+
+
+# Models, JSON contents, command line
+
+
+class Names:
+    def predict(self, texts):
+        return [{"organizations": ["Acme Corp", "Windows 11", "the group", "Acme Corp"], "locations": ["Rome"], "products": ["Widget"]} for _ in texts]
+
+
+class Lengths:
+    def score(self, queries, contents):
+        return [float(len(q) - len(c)) for q, c in zip(queries, contents, strict=True)]
+
+
+class Sure:
+    def confidence(self, sections):
+        return [0.8 if "contents" in s else 0.1 for s in sections]
+
+
+def test_models(spark):
+    from docflow.operators import models
+
+    chunks = spark.createDataFrame([("a", "x" * 60), ("b", "short")], "chunk_id string, content string")
+    rows = {r.chunk_id: r.ner for r in models.with_ner(chunks, Names()).collect()}
+    assert rows["a"].organizations == ["Acme Corp"] and rows["a"].products == ["Widget", "Windows 11"] and rows["b"].organizations == []
+    text_rows = spark.createDataFrame([("a", "Big Blue Widget Corp. opened a plant in Germany, and it went very well indeed.")], "chunk_id string, content string")
+    assert models.with_ner(text_rows).first().ner.locations == ["germany"]
+    pairs = spark.createDataFrame([(1, "ab", "abc"), (2, "q", "q")], "i int, query string, content string")
+    known = models.pair_scores(pairs.where("i = 1"), Lengths()).select("pair_key", F.lit(9.0).alias("logit"))
+    assert sorted((r.i, r.logit) for r in models.pair_scores(pairs, Lengths(), known).collect()) == [(1, 9.0), (2, 0.0)]
+    sections = spark.createDataFrame([(1, 0.6, "contents 1"), (2, 0.9, "other")], "id int, score double, body string")
+    assert [(r.id, round(r.score, 6)) for r in models.verified(sections, F.col("body"), Sure()).collect()] == [(1, 1.0)]
+    assert models.verified(sections, F.col("body")).count() == 2
+    titled = models.table_titles(spark.createDataFrame([("t", "The following table shows net sales", "| a |")], "table_id string, caption string, markdown string")).first()
+    assert (titled.title, titled.summary) == ("Net Sales", "shows net sales")
+    base = models.benchmark(lambda: None, 2)
+    assert base["min"] <= base["mean"] <= base["max"] and models.overhead_pct({"mean": 2.0}, {"mean": 3.0}) == 50
+
+
+def test_json_contents(spark):
+    from docflow.operators.json_toc import json_contents
+
+    body = {"meta": {"toc": [{"title": "A", "page": "3"}, {"name": "B", "level": 2}]}, "Chapters": [{"title": "C", "id": 7, "subsections": [{"name": "D"}]}, {"page_number": 5}], "x": [{"parts": [{"title": "E"}]}]}
+    rows = json_contents(spark.createDataFrame([(1, json.dumps(body)), (2, "no json"), (3, None)], "doc_id long, text string")).collect()
+    assert [(r.level, r.title, r.page, r.section_id, r.confidence) for r in rows] == [(1, "A", 3, None, 0.95), (2, "B", None, None, 0.95), (1, "C", None, "7", 0.9), (2, "D", None, None, 0.9), (1, "Section 2", 5, None, 0.9), (1, "E", None, None, 0.9)]
+
+
+def test_command_line_parses():
+    from docflow.__main__ import parse
+
+    assert parse(["ingest", "--input-dir", "a", "--output-dir", "b"]).verb == "ingest"
+    assert not parse(["dedupe", "--input", "a", "--key", "k", "--order", "o"]).confirm
