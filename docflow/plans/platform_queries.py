@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docflow.plans.common import query, table
+from docflow.plans.common import ORACLE_SQL, query, table
 from docflow.streaming import events
 
 
@@ -80,3 +80,47 @@ def top_parts(spark, sf):
     s = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("p_partkey")).agg(F.round(F.sum("l_extendedprice"), 2).alias("revenue"))
     w = Window.partitionBy("s_suppkey").orderBy(F.desc("revenue"), "p_partkey")
     return s.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+
+
+@query(ORACLE_SQL["events_tumbling"])
+def events_stream(spark, sf):
+    """The hourly windows as a stream run to its end: each batch's complete result replaces the one before."""
+    import uuid
+
+    from docflow.session import checkpoint_dir
+
+    base = f"{checkpoint_dir(spark)}/docflow/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(events.EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+    def write(batch, _):
+        batch.write.mode("overwrite").parquet(base + "/out")
+
+    events.tumbling(stream).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", base + "/mark").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("start timestamp, event_type string, n long, total double").parquet(base + "/out")
+
+
+@query("SELECT doc_id, 1 AS level, 'Doc ' || doc_id AS title, CAST(doc_id % 9 AS INTEGER) AS page, CAST(doc_id AS VARCHAR) AS section_id, 0.95::DOUBLE AS confidence FROM documents UNION ALL SELECT doc_id, 1, 'Section 1', CAST(7 AS INTEGER), NULL, 0.9::DOUBLE FROM documents UNION ALL SELECT doc_id, 2, lang, NULL, NULL, 0.9::DOUBLE FROM documents")
+def json_contents(spark, sf):
+    """T27 over JSON made of each document."""
+    from docflow.operators.json_toc import json_contents as read
+
+    d = F.col("doc_id")
+    body = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("Doc "), d.cast("string")).alias("title"), (d % 9).alias("page"), d.alias("id"))).alias("toc"), F.array(F.struct(F.lit("7").alias("page"), F.array(F.struct(F.col("lang").alias("name"))).alias("subsections"))).alias("sections")))
+    return read(table(spark, sf, "documents").select("doc_id", body.alias("text"))).select("doc_id", "level", "title", "page", "section_id", "confidence")
+
+
+@query()
+def ner_rules(spark, sf):
+    """E10-E12 with the offline rules as the model."""
+    from docflow.operators.models import with_ner
+    from docflow.plans.entity_queries import text
+
+    return with_ner(text(spark, sf).withColumnRenamed("t", "content")).select("doc_id", F.to_json("ner").alias("ner"))
+
+
+@query()
+def hashed_embeddings(spark, sf):
+    """X8 over whole texts."""
+    from docflow.functions.encode import hashing_encoder
+
+    return table(spark, sf, "documents").select("doc_id", hashing_encoder(F.col("text")).alias("embedding"))
