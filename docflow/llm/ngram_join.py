@@ -8,7 +8,8 @@ each fragment on their own and summed for each pair.
 3. Stars: among the classes that share a prefix n-gram, the one with the fewest n-grams of its own is the centre. Each class is
    compared with the centre that it meets most often. This is one pair for each class, however large a group of near copies is.
 4. The rest: pairs that share a prefix n-gram and are not connected yet. In each group only classes outside its largest component
-   are paired, and only if the counts allow the similarity. No such pair is dropped, so no link between components is lost.
+   are paired, and only if the counts allow the similarity: what two sets share comes no earlier in either than their first common
+   n-gram, so it is no more than what follows that. No pair that may be linked is dropped, so no link between components is lost.
 5. Overlaps of the pairs are counted by fragment and summed; components are found by distributed label propagation.
 
 Defined results: a null text is an empty one; texts without words have no set and are linked with nothing; repeated rows are copies
@@ -253,7 +254,7 @@ def open_pairs(postings: DataFrame, labels: DataFrame, num: int, den: int) -> Da
     main = sizes.groupBy("g").agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
     few = placed.join(main, "g").where(F.col("label") != F.col("main")).alias("a")
     every = placed.alias("b")
-    able = linked(F.least(F.col("a.m"), F.col("b.m")), F.col("a.n"), F.col("b.n"), num, den)
+    able = linked(F.least(F.col("a.m") - F.col("a.place"), F.col("b.m") - F.col("b.place")), F.col("a.n"), F.col("b.n"), num, den)
     once = (F.col("b.label") == F.col("a.main")) | (F.col("a.fp") < F.col("b.fp"))
     return few.join(every, "g").where((F.col("a.label") != F.col("b.label")) & able & once).select(*_pair_columns("a", "b")).distinct()
 
@@ -262,7 +263,7 @@ def class_labels(docs: DataFrame, grams: int, k: int, num: int, den: int) -> Dat
     """v, label for each class that is linked with another; grams: the size of all sets."""
     n = max(1, -(-grams // FRAGMENT_GRAMS))
     sets = materialize(candidates(shared_grams(fragments(docs, k, n), n), num, den), "candidates")
-    postings = materialize(sets.select("fp", "n", "m", F.explode("prefix").alias("g")), "prefixes")
+    postings = materialize(sets.select("fp", "n", "m", F.posexplode("prefix").alias("place", "g")), "prefixes")
     stars = materialize(links(star_pairs(postings, num, den), sets, num, den), "stars")
     rest = links(open_pairs(postings, components(stars), num, den), sets, num, den)
     return components(stars.union(materialize(rest, "rest")))
