@@ -16,6 +16,8 @@ STRUCTURE = r"(?i)^[|\-*•]|\b(?:item|part|section|chapter)\b|\.{2,}|:.*\d+$"
 PAGE_WEIGHT, STRUCTURE_WEIGHT, KEYWORD_BONUS, EARLY_BONUS, NUMBERED_BONUS = 0.7, 0.3, 0.5, 0.2, 0.3
 DENSE, ACCEPTED, FIRST_LINES = 0.15, 0.5, 1000
 LONG_LINE, SECTION_LINES, BLANK_LINES = 120, 80, 4
+#: Levels of headings that can be ancestors.
+MAX_LEVEL = 12
 POSITION_WORDS = ["chapter", "part", "section", "item"]
 SUBSECTION_WORDS = ["subsection", "appendix", "annex"]
 
@@ -52,16 +54,21 @@ def heading_asof(chunks: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def heading_paths(heads: DataFrame) -> DataFrame:
-    """Each heading with up to two ancestors of strictly decreasing level, the outermost first."""
+    """Each heading with up to two ancestors of strictly decreasing level, the outermost first.
+
+    The nearest heading of a lower level is the latest of the last headings of each lower level, so a row carries one place for
+    each of MAX_LEVEL levels, not all headings before it; deeper levels count as MAX_LEVEL + 1, under all others.
+    """
     before = Window.partitionBy("doc_id").orderBy("line_number").rowsBetween(Window.unboundedPreceding, -1)
-    seen = heads.withColumn("seen", F.reverse(F.collect_list(F.struct("level", "heading")).over(before)))
-    start = F.struct(F.col("level").alias("level"), F.array(F.col("heading")).alias("path"))
+    last = [F.last(F.when(F.col("level") == n, F.struct(F.col("line_number").alias("at"), F.col("level").alias("level"), F.col("heading").alias("heading"))), ignorenulls=True).over(before) for n in range(1, MAX_LEVEL + 1)]
+    seen = heads.withColumn("last", F.array(*last))
 
-    def up(acc: Column, h: Column) -> Column:
-        take = (h["level"] < acc["level"]) & (F.size(acc["path"]) < 3)
-        return F.when(take, F.struct(h["level"].alias("level"), F.concat(F.array(h["heading"]), acc["path"]).alias("path"))).otherwise(acc)
+    def nearest(level: Column, at: Column) -> Column:
+        return F.array_max(F.filter("last", lambda h: h.isNotNull() & (h["level"] < level) & (h["at"] < at)))
 
-    return seen.select("doc_id", "line_number", "level", "heading", F.aggregate("seen", start, up)["path"].alias("path"))
+    up = seen.withColumn("a", nearest(F.col("level"), F.col("line_number"))).withColumn("b", nearest(F.col("a")["level"], F.col("a")["at"]))
+    path = F.array_compact(F.array(F.col("b")["heading"], F.col("a")["heading"], F.col("heading")))
+    return up.select("doc_id", "line_number", "level", "heading", path.alias("path"))
 
 
 def prepend_headings(path: Column, levels: Column, content: Column) -> Column:

@@ -7,14 +7,11 @@ from pyspark.sql import functions as F
 from docflow.functions import entities as e
 from docflow.plans.common import query, table
 
-D = F.col("doc_id")
-
-
 def text(spark, sf):
     s = lambda c: c.cast("string")
     made = F.concat(
-        F.lit("On 2"), s(D % 3), F.lit("/0"), s(1 + D % 9), F.lit("/20"), s(10 + D % 15), F.lit(" and Mar. "), s(1 + D % 28), F.lit(", 2021 (Q"), s(1 + D % 4), F.lit(" 2023; in 1850, "), s(1890 + D % 150),
-        F.lit(") revenue rose "), s(D % 50), F.lit(".5% to $3,"), s(100 + D % 900), F.lit(" million and 45 billion in Europe, the United States, Japan and the UK; EBITDA growth was quarterly. Fiscal year 2024 profit: "),
+        F.lit("On 2"), s(F.col("doc_id") % 3), F.lit("/0"), s(1 + F.col("doc_id") % 9), F.lit("/20"), s(10 + F.col("doc_id") % 15), F.lit(" and Mar. "), s(1 + F.col("doc_id") % 28), F.lit(", 2021 (Q"), s(1 + F.col("doc_id") % 4), F.lit(" 2023; in 1850, "), s(1890 + F.col("doc_id") % 150),
+        F.lit(") revenue rose "), s(F.col("doc_id") % 50), F.lit(".5% to $3,"), s(100 + F.col("doc_id") % 900), F.lit(" million and 45 billion in Europe, the United States, Japan and the UK; EBITDA growth was quarterly. Fiscal year 2024 profit: "),
         F.lit("Dr. Alice Brown met Tom Reed. CEO Mary Ann and Acme Widget Holdings Inc, Blue Systems Ltd. "), "text",
     )
     return table(spark, sf, "documents").where("lang = 'en'").select("doc_id", made.alias("t"))
@@ -82,7 +79,7 @@ DATES = "[CAST(1890 + doc_id % 150 AS VARCHAR), 'Q1 ' || (1995 + doc_id % 40), '
 @query(f"""WITH y AS (SELECT doc_id, list_filter(list_transform({DATES}, lambda d: list_filter(list_transform(range(1, greatest(length(d) - 3, 1) + 1), lambda i: TRY_CAST(CASE WHEN regexp_matches(substring(d, i, 4), '^\\d{{4}}$') THEN substring(d, i, 4) END AS INTEGER)), lambda w: w BETWEEN 1900 AND 2030)[1]), lambda w: w IS NOT NULL) AS years FROM documents)
 SELECT doc_id, CASE WHEN len(years) > 0 THEN (list_min(years) - 1) || '-05-01' END AS start_date, CASE WHEN len(years) > 0 THEN list_max(years) || '-04-30' END AS end_date FROM y""")
 def time_context(spark, sf):
-    dates = F.slice(F.array((1890 + D % 150).cast("string"), F.concat(F.lit("Q1 "), (1995 + D % 40).cast("string")), F.lit("120245")), 1, (1 + D % 3).cast("int"))
+    dates = F.slice(F.array((1890 + F.col("doc_id") % 150).cast("string"), F.concat(F.lit("Q1 "), (1995 + F.col("doc_id") % 40).cast("string")), F.lit("120245")), 1, (1 + F.col("doc_id") % 3).cast("int"))
     c = e.time_context(dates)
     return table(spark, sf, "documents").select("doc_id", c["start"].alias("start_date"), c["end"].alias("end_date"))
 
@@ -117,8 +114,8 @@ def doc_orgs(spark, sf):
     """From the first chunk of each document."""
     from pyspark.sql import Window
 
-    t = F.when(D % 15 == 0, F.concat("text", F.lit(" the Company, Inc"))).when(D % 10 == 0, F.concat("text", F.lit(" Elastic"))).otherwise(F.col("text"))
-    c = table(spark, sf, "documents").select(F.floor(D / 5).alias("g"), "doc_id", t.alias("t"))
+    t = F.when(F.col("doc_id") % 15 == 0, F.concat("text", F.lit(" the Company, Inc"))).when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(" Elastic"))).otherwise(F.col("text"))
+    c = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 5).alias("g"), "doc_id", t.alias("t"))
     head = F.first("t").over(Window.partitionBy("g").orderBy("doc_id"))
     return c.withColumn("head", head).select("doc_id", F.array_join(e.document_orgs(F.lit("report"), F.col("head")), "|").alias("orgs"))
 
@@ -128,7 +125,7 @@ def populate_entities(spark, sf):
     """At most five of each kind, organisations from the document where a chunk has none."""
     from pyspark.sql import Window
 
-    t = text(spark, sf).select((D % 50).alias("doc"), "doc_id", "t")
+    t = text(spark, sf).select((F.col("doc_id") % 50).alias("doc"), "doc_id", "t")
     doc_orgs = F.first(e.document_orgs(F.col("doc").cast("string"), F.col("t"))).over(Window.partitionBy("doc").orderBy("doc_id"))
     c = F.col("t")
     five = lambda x, n: F.array_join(F.slice(x, 1, 5), "|").alias(n)

@@ -14,47 +14,44 @@ def docs(spark, sf):
     return table(spark, sf, "documents")
 
 
-TEXT = F.col("text")
-
-
 @query(f"SELECT doc_id, CAST(len({sql_words('text')}) AS INTEGER) AS words FROM documents")
 def word_count(spark, sf):
-    return docs(spark, sf).select("doc_id", t.word_count(TEXT).alias("words"))
+    return docs(spark, sf).select("doc_id", t.word_count(F.col("text")).alias("words"))
 
 
 @query("SELECT doc_id, CAST(length(text) - length(replace(replace(text, ' ', ''), chr(10), '')) + 1 AS INTEGER) AS words FROM documents")
 def approx_word_count(spark, sf):
-    return docs(spark, sf).select("doc_id", t.approx_word_count(TEXT).alias("words"))
+    return docs(spark, sf).select("doc_id", t.approx_word_count(F.col("text")).alias("words"))
 
 
 @query("SELECT doc_id, CAST(length(text) // 4 AS INTEGER) AS tokens FROM documents")
 def token_est_chars(spark, sf):
-    return docs(spark, sf).select("doc_id", t.token_estimate_chars(TEXT).alias("tokens"))
+    return docs(spark, sf).select("doc_id", t.token_estimate_chars(F.col("text")).alias("tokens"))
 
 
 @query(f"SELECT doc_id, {sql_tokens('text')} AS tokens FROM documents")
 def token_est_words(spark, sf):
-    return docs(spark, sf).select("doc_id", t.token_estimate(TEXT).alias("tokens"))
+    return docs(spark, sf).select("doc_id", t.token_estimate(F.col("text")).alias("tokens"))
 
 
 @query(f"SELECT doc_id, CAST(floor(len({sql_words('text')}) * 1.3::DOUBLE) AS INTEGER) AS tokens FROM documents")
 def token_est_simple(spark, sf):
-    return docs(spark, sf).select("doc_id", t.token_estimate_words(TEXT).alias("tokens"))
+    return docs(spark, sf).select("doc_id", t.token_estimate_words(F.col("text")).alias("tokens"))
 
 
 @query(f"SELECT doc_id, {sql_preview('text')} AS preview FROM documents")
 def content_preview(spark, sf):
-    return docs(spark, sf).select("doc_id", t.preview(TEXT).alias("preview"))
+    return docs(spark, sf).select("doc_id", t.preview(F.col("text")).alias("preview"))
 
 
 @query("SELECT doc_id, substring(text, 1, 1200) AS content FROM documents")
 def content_cap(spark, sf):
-    return docs(spark, sf).select("doc_id", t.cap(TEXT, 1200).alias("content"))
+    return docs(spark, sf).select("doc_id", t.cap(F.col("text"), 1200).alias("content"))
 
 
 @query(rf"SELECT doc_id, regexp_replace({sql_trim('lower(text)')}, '\s+', ' ', 'g') AS normal FROM documents")
 def normalize_text(spark, sf):
-    return docs(spark, sf).select("doc_id", t.normalize(TEXT).alias("normal"))
+    return docs(spark, sf).select("doc_id", t.normalize(F.col("text")).alias("normal"))
 
 
 @query("SELECT doc_id, round(n_chars * 0.15 / 1e6::DOUBLE + doc_id * 0.60 / 1e6::DOUBLE, 9) AS cost FROM documents")
@@ -69,7 +66,7 @@ def fingerprint(spark, sf):
 
 @query("SELECT item_id, md5(text) AS query_hash, md5(text || '||' || item_id) AS pair_hash FROM benchmark")
 def query_hashes(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", F.md5("text").alias("query_hash"), t.pair_hash(TEXT, F.col("item_id").cast("string")).alias("pair_hash"))
+    return table(spark, sf, "benchmark").select("item_id", F.md5("text").alias("query_hash"), t.pair_hash(F.col("text"), F.col("item_id").cast("string")).alias("pair_hash"))
 
 
 NAME = "'reports_2024/q' || (doc_id % 4) || '/annual-report_' || doc_id || (CASE doc_id % 5 WHEN 0 THEN '.md' WHEN 1 THEN '.HTML' WHEN 2 THEN '.txt' WHEN 3 THEN '.pdf' ELSE '.yml' END)"
@@ -145,13 +142,13 @@ def column_units(spark, sf):
 s AS (SELECT doc_id, CASE WHEN lower({sql_trim('caption')}) LIKE 'the following table%' THEN substring({sql_trim('caption')}, 21) ELSE {sql_trim('caption')} END AS s FROM c)
 SELECT doc_id, CASE WHEN length(s) > 100 THEN substring(s, 1, 100) || '...' ELSE s END AS summary FROM s""")
 def fallback_summary(spark, sf):
-    caption = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("The following table shows "), TEXT)).otherwise(TEXT)
+    caption = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("The following table shows "), F.col("text"))).otherwise(F.col("text"))
     return docs(spark, sf).select("doc_id", t.fallback_summary(caption).alias("summary"))
 
 
 @query(f"SELECT doc_id FROM documents WHERE length({sql_trim('text')}) > 0")
 def nonblank_docs(spark, sf):
-    return docs(spark, sf).where(F.length(F.regexp_replace(TEXT, r"^\s+|\s+$", "")) > 0).select("doc_id")
+    return docs(spark, sf).where(F.length(F.regexp_replace(F.col("text"), r"^\s+|\s+$", "")) > 0).select("doc_id")
 
 
 DIRTY = r"""'Skip to main content' || chr(10) || 'Home > Reports' || chr(10) || '***' || chr(10) || '----------' || chr(10) || text || '   ' || chr(10) || '.....' || chr(10) || '_____' || chr(10) || chr(10) || chr(10) || 'GLYPH<c=3>end ' || chr(7)"""
@@ -164,7 +161,7 @@ SELECT doc_id, {sql_trim(r"regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g')"
 
 @query(CLEAN)
 def clean_text(spark, sf):
-    dirty = F.concat(F.lit("Skip to main content\nHome > Reports\n***\n----------\n"), TEXT, F.lit("   \n.....\n_____\n\n\nGLYPH<c=3>end \x07"))
+    dirty = F.concat(F.lit("Skip to main content\nHome > Reports\n***\n----------\n"), F.col("text"), F.lit("   \n.....\n_____\n\n\nGLYPH<c=3>end \x07"))
     return docs(spark, sf).where("lang = 'en'").select("doc_id", clean.clean_text(dirty).alias("content"))
 
 
@@ -175,7 +172,7 @@ W1, W2 = f"list_distinct({sql_words('lower(a.text)')})", f"list_distinct({sql_wo
 def jaccard_pairs(spark, sf):
     a = docs(spark, sf)
     b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next_text"))
-    return a.join(b, "doc_id").select("doc_id", F.round(t.jaccard(TEXT, F.col("next_text")), 6).alias("similarity"))
+    return a.join(b, "doc_id").select("doc_id", F.round(t.jaccard(F.col("text"), F.col("next_text")), 6).alias("similarity"))
 
 
 # Chunks of ten lines' worth of documents: groups of eight documents stand for the chunks of one.
@@ -222,10 +219,10 @@ def merge_small(spark, sf):
 @query(f"""WITH w AS (SELECT len({sql_words('text')}) AS v FROM documents) SELECT count(*) FILTER (v < 50) AS very_short, count(*) FILTER (v > 500) AS very_long, count(*) FILTER (v BETWEEN 100 AND 300) AS optimal,
  round(100.0::DOUBLE * count_if(v < 50) / count(*), 6) AS short_pct, round(100.0::DOUBLE * count_if(v > 500) / count(*), 6) AS long_pct, round(100.0::DOUBLE * count_if(v BETWEEN 100 AND 300) / count(*), 6) AS optimal_pct FROM w""")
 def chunk_size_flags(spark, sf):
-    return size_flags(docs(spark, sf), t.word_count(TEXT))
+    return size_flags(docs(spark, sf), t.word_count(F.col("text")))
 
 
 @query("SELECT conv_id, turn, 'System: ' || role || chr(10) || chr(10) || 'Context:' || chr(10) || text || chr(10) || chr(10) || 'Question: ' || turn || chr(10) || chr(10) || 'Answer:' AS prompt FROM conversations")
 def prompts(spark, sf):
     c = table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", t.prompt(F.concat(F.lit("System: "), "role"), TEXT, F.col("turn").cast("string")).alias("prompt"))
+    return c.select("conv_id", "turn", t.prompt(F.concat(F.lit("System: "), "role"), F.col("text"), F.col("turn").cast("string")).alias("prompt"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -33,7 +35,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; only where that is unset (local tests) a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="docflow-")
+        own = tempfile.mkdtemp(prefix="docflow-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        named = "file://" + own
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
@@ -49,6 +53,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what materialize wrote, once no result that reads it is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/docflow")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the Python workers, once for each application."""
     sc = spark.sparkContext

@@ -314,3 +314,14 @@ def test_command_line_parses():
 
     assert parse(["ingest", "--input-dir", "a", "--output-dir", "b"]).verb == "ingest"
     assert not parse(["dedupe", "--input", "a", "--key", "k", "--order", "o"]).confirm
+
+
+def test_scratch(spark):
+    import os
+
+    from docflow.session import checkpoint_dir, clear_scratch, materialize
+
+    kept = materialize(spark.range(3), "numbers")
+    assert sorted(r.id for r in kept.collect()) == [0, 1, 2]
+    clear_scratch(spark)
+    assert not os.path.exists(checkpoint_dir(spark).removeprefix("file://") + "/docflow")
