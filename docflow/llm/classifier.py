@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.word_bpe import Cache
+from docflow.llm.hashing import Cache
 from docflow.session import ship
 
 ROWS = 1 << 14
@@ -81,7 +81,7 @@ class Reader:
         if not chunks:
             return np.zeros(0, np.int64), marks
         of = self.of
-        found = np.array([of[c] for c in chunks], np.int64)
+        found = np.array(list(map(of.__getitem__, chunks)), np.int64)
         marks += np.bincount(found[:, 1], minlength=len(MARKS))
         marks += np.bincount(found[found[:, 2] >= 0, 2], minlength=len(MARKS))
         rows = found[:, 0]

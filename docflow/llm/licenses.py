@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from docflow.llm.word_bpe import Cache
+from docflow.llm.hashing import Cache, shingles
 from docflow.session import ship
 
 SHINGLE = 5
@@ -64,25 +64,6 @@ def words_of(text: str) -> list[str]:
     return [x for w in WORD.findall(text.lower()) if (x := w.strip("._"))]
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """Finaliser of a 64-bit hash."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every run of k words; of the whole, if shorter."""
-    k = min(k, len(hashes))
-    if not k:
-        return hashes
-    n = len(hashes) - k + 1
-    out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n])
-    return out
-
-
 class Scanner:
     """The templates by classes of length, with their bands."""
 
@@ -107,7 +88,7 @@ class Scanner:
 
     def hashes(self, words: list[str]) -> np.ndarray:
         of = self.hash
-        return np.fromiter([of[w] for w in words], np.uint64, len(words))
+        return np.fromiter(map(of.__getitem__, words), np.uint64, len(words))
 
     @staticmethod
     def minhash(found: np.ndarray, factor: np.uint64) -> int:

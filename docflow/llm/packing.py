@@ -20,7 +20,8 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docflow.llm.word_bpe import Cache, byte_symbols
+from docflow.llm.hashing import Cache
+from docflow.llm.word_bpe import byte_symbols
 from docflow.session import materialize, ship
 
 CAPACITY = 2048

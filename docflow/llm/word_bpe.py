@@ -19,10 +19,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docflow.llm.hashing import Cache
 from docflow.session import materialize, ship
 
-#: Entries in one generation of a worker's cache; it holds two generations.
-CACHE_ENTRIES = 150_000
 #: A block of op2 is closed at so many characters of text.
 BLOCK_CHARS = 8_000_000
 
@@ -36,25 +35,6 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-class Cache:
-    """A bounded dictionary: two generations, of which the elder goes when the younger is full."""
-
-    def __init__(self, make, entries: int = CACHE_ENTRIES):
-        self.make, self.entries, self.young, self.old = make, entries, {}, {}
-
-    def __getitem__(self, key):
-        try:
-            return self.young[key]
-        except KeyError:
-            value = self.old.get(key)
-            if value is None:
-                value = self.make(key)
-            if len(self.young) >= self.entries:
-                self.old, self.young = self.young, {}
-            self.young[key] = value
-            return value
-
-
 def segment_tree_merge(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
     """Merge adjacent pairs, always the leftmost of the lowest rank, until none can be merged.
 
@@ -186,7 +166,7 @@ class WordBpe:
         for special, part in self.segments(text):
             if special:
                 n, ids, tokens = n + 1, [*ids, str(self.specials[part])], [*tokens, part]
-            elif found := [render[c] for c in self.chunks(part)]:
+            elif found := list(map(render.__getitem__, self.chunks(part))):
                 counts, some_ids, some_tokens = zip(*found, strict=True)
                 n += sum(counts)
                 ids += filter(None, some_ids)
