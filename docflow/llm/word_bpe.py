@@ -213,6 +213,17 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
 # Token counts
 
 
+def squeeze(parts: list[np.ndarray]) -> bytes:
+    """Small unsigned 32-bit numbers, the first bytes of all before the second ones, compressed."""
+    whole = np.concatenate([*parts, np.zeros(0, np.uint32)]).astype("<u4")
+    return pa.compress(whole.view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def unsqueeze(packed: bytes, n: int) -> np.ndarray:
+    raw = pa.decompress(packed, 4 * n, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+
+
 class _Block:
     """Pre-token frequencies of consecutive documents, as one sparse matrix over the block's own dictionary."""
 
@@ -242,8 +253,10 @@ class _Block:
         self.ids.append(doc_id)
         self.bytes.append(len(text.encode()))
         self.special.append(special)
-        self.columns.append(np.fromiter(counts.keys(), np.int32, len(counts)))
-        self.values.append(np.fromiter(counts.values(), np.int32, len(counts)))
+        columns, values = np.fromiter(counts.keys(), np.uint32, len(counts)), np.fromiter(counts.values(), np.uint32, len(counts))
+        order = np.argsort(columns)
+        self.columns.append(np.diff(columns[order], prepend=np.uint32(0)))
+        self.values.append(values[order])
         self.ends.append(self.ends[-1] + len(counts))
         self.chars += len(text)
 
@@ -251,16 +264,12 @@ class _Block:
         """The dictionary's rows (column, pretoken) and one row with the matrix."""
         names = list(self.index)
         n = len(names)
-        matrix = pa.RecordBatch.from_arrays(
-            [pa.array([v], pa.binary()) for v in (
-                np.array(self.ends, np.int64).tobytes(), np.concatenate([*self.columns, np.zeros(0, np.int32)]).tobytes(), np.concatenate([*self.values, np.zeros(0, np.int32)]).tobytes())],
-            ["ends", "columns", "values"],
-        )
+        matrix = [np.array(self.ends, np.int64).tobytes(), squeeze(self.columns), squeeze(self.values)]
         return pa.record_batch(
             [
                 pa.array([key] * (n + 1), pa.int64()), pa.array([*range(n), None], pa.int32()), pa.array([*names, None], pa.string()),
                 pa.array([None] * n + [self.ids], pa.list_(pa.int64())), pa.array([None] * n + [self.bytes], pa.list_(pa.int64())), pa.array([None] * n + [self.special], pa.list_(pa.int64())),
-                *(pa.array([None] * n + [matrix.column(i)[0].as_py()], pa.binary()) for i in range(3)),
+                *(pa.array([None] * n + [x], pa.binary()) for x in matrix),
             ],
             ["block", "col", "pretoken", "ids", "bytes", "special", "ends", "cols", "freqs"],
         )
@@ -291,15 +300,24 @@ def pretoken_blocks(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS)
     return docs.select("doc_id", "text").mapInArrow(run, BLOCK_SCHEMA)
 
 
-def count_pieces(pretokens: DataFrame, path: str) -> DataFrame:
-    """pretoken, n_pieces for each row of pretokens, which holds each pre-token once."""
+def join_pieces(names: DataFrame, path: str) -> DataFrame:
+    """of_block, col, n_pieces for each row (block, col, pretoken) of names.
+
+    Rows of one pre-token come together in one sorted partition, where its pieces are counted once and joined to all of them:
+    a merge join whose other side is made on the way, so that the dictionaries are shuffled only once.
+    """
 
     def run(batches):
-        bpe = load(path)
+        bpe, last, n = load(path), None, 0
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([len(bpe.encode_pretoken(p)) for p in b.column(0).to_pylist()], pa.int32())], ["pretoken", "n_pieces"])
+            counts = []
+            for p in b.column(2).to_pylist():
+                if p != last:
+                    last, n = p, len(bpe.encode_pretoken(p))
+                counts.append(n)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(counts, pa.int32())], ["of_block", "col", "n_pieces"])
 
-    return pretokens.select("pretoken").mapInArrow(run, "pretoken string, n_pieces int")
+    return names.repartition("pretoken").sortWithinPartitions("pretoken").mapInArrow(run, "of_block long, col int, n_pieces int")
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -312,13 +330,15 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, block_chars: int
     ship(docs.sparkSession)
     blocks = materialize(pretoken_blocks(docs, path, block_chars), "pretoken-blocks")
     names = blocks.where("pretoken is not null").select("block", "col", "pretoken")
-    counted = count_pieces(names.select("pretoken").distinct(), path)
-    pieces = names.join(counted.hint("shuffle_hash"), "pretoken").select(F.col("block").alias("of_block"), "col", "n_pieces")
+    pieces = join_pieces(names, path)
     matrices = blocks.where("pretoken is null").select("block", "ids", "bytes", "special", "ends", "cols", "freqs")
 
     def total(key, left: pa.Table, right: pa.Table) -> pa.Table:
         row = {n: left.column(n)[0].as_py() for n in left.column_names}
-        ends, cols, freqs = np.frombuffer(row["ends"], np.int64), np.frombuffer(row["cols"], np.int32), np.frombuffer(row["freqs"], np.int32)
+        ends = np.frombuffer(row["ends"], np.int64)
+        steps, freqs = unsqueeze(row["cols"], ends[-1]), unsqueeze(row["freqs"], ends[-1])
+        upto = np.concatenate([[0], np.cumsum(steps)])
+        cols = upto[1:] - np.repeat(upto[ends[:-1]], np.diff(ends))
         pieces = np.zeros(right.num_rows, np.int64)
         pieces[right.column("col").to_numpy()] = right.column("n_pieces").to_numpy()
         sums = np.concatenate([[0], np.cumsum(pieces[cols] * freqs)])
