@@ -23,7 +23,7 @@ from docflow.llm.hashing import Cache
 from docflow.session import materialize, ship
 
 #: A block of op2 is closed at so many characters of text.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 24_000_000
 
 _loaded: dict[str, WordBpe] = {}
 
