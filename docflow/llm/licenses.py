@@ -6,6 +6,8 @@ of m shingles lies whole inside one of them: their Jaccard similarity is m / 1.5
 threshold of 0.8 of the shingles. With 32 bands of one MinHash, such a window shares a band with a probability of
 1 - (1 - 0.25)^32 = 0.9999.
 
+A text without any shingle of a template has no window that shares a band, so its bands are not computed.
+
 Templates are a bounded parameter and go to every task; documents are never shuffled. Defined results: a null or empty text, or one
 with no match, gives no row; each document and template gives one row, of its best window; repeated rows give a row each; other
 columns are ignored.
@@ -81,6 +83,7 @@ class Scanner:
                 group = self.classes.setdefault(max(1, 1 << (len(found) - 1).bit_length()), {"names": [], "sets": []})
                 group["names"].append(name)
                 group["sets"].append(found)
+        self.every = np.unique(np.concatenate([np.zeros(0, np.uint64), *(s for group in self.classes.values() for s in group["sets"])]))
         for group in self.classes.values():
             keys = [[self.minhash(s, f) for s in group["sets"]] for f in self.factors]
             group["keys"] = np.array(keys, np.uint64)
@@ -99,8 +102,8 @@ class Scanner:
         hashes = self.hashes(words_of(text or ""))
         found = shingles(hashes, self.k)
         n, best = len(found), {}
-        if not n:
-            return []
+        if not n or not np.isin(found, self.every).any():
+            return []  # no window of it can share a band with a template
         candidates: set[tuple[int, int, int]] = set()
         blocks = {width: np.arange(0, n, max(1, width // 2)) for width in self.classes}
         for i, factor in enumerate(self.factors):
