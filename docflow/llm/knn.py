@@ -131,7 +131,7 @@ def search(data: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, n_
             yield pa.record_batch([pa.array(g.astype(np.int32)), b.column(0).take(at), b.column(1).take(at)], ["grp", "vec_id", "v"])
 
     blocks = max(1, -(-total // block_rows))
-    routed = assigned.mapInArrow(route, "grp int, vec_id long, v binary").withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)))
+    routed = assigned.mapInArrow(route, "grp int, vec_id long, v binary").withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))  # the type of qblock: keys of two types are dealt differently
     asked = queries.select(F.col("grp").alias("qgrp"), F.col("vec_id").alias("query_id"), "v").withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
