@@ -15,8 +15,13 @@ RANKED = f"""scored AS (SELECT q.vec_id AS query_id, d.vec_id, {DOT} AS score FR
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)"""
 
 
-def asked(spark, sf, n):
-    return table(spark, sf, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+def vectors_as_queries(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+def asked(spark, sf):
+    """Every row whose id is divisible by 100 asks."""
+    return vectors_as_queries(spark, sf).where("query_id % 100 = 0")
 
 
 def data(spark, sf):
@@ -24,7 +29,7 @@ def data(spark, sf):
 
 
 def ranked(spark, sf, k=20):
-    return search.batch_search(asked(spark, sf, 10), data(spark, sf), k, exclude_self=True)
+    return search.batch_search(asked(spark, sf), data(spark, sf), k, exclude_self=True)
 
 
 def one(metric):
@@ -34,12 +39,12 @@ def one(metric):
 
 @query(one(DOT))
 def vector_topk(spark, sf):
-    return search.batch_search(asked(spark, sf, 1), data(spark, sf), 10).select("vec_id", "score", "rank")
+    return search.batch_search(asked(spark, sf), data(spark, sf), 10).select("query_id", "vec_id", "score", "rank")
 
 
 @query(one("round(list_dot_product(d.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(d.embedding::DOUBLE[], d.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6)"))
 def cosine_topk(spark, sf):
-    return search.batch_search(asked(spark, sf, 1), data(spark, sf), 10, cosine).select("vec_id", "score", "rank")
+    return search.batch_search(asked(spark, sf), data(spark, sf), 10, cosine).select("query_id", "vec_id", "score", "rank")
 
 
 @query(f"WITH {RANKED} SELECT query_id, vec_id, score, rank FROM ranked WHERE rank <= 20 AND score >= 0.2")
@@ -57,7 +62,7 @@ def ivf_search(spark, sf):
     """K6: a probe of half of the cells of an inverted-file index."""
     config = IndexConfig(8, 4)
     indexed, centers = search.build_index(data(spark, sf), config)
-    return search.probe(indexed, centers, asked(spark, sf, 10), 10, config).select("query_id", "vec_id", "score", "rank")
+    return search.probe(indexed, centers, asked(spark, sf), 10, config).select("query_id", "vec_id", "score", "rank")
 
 
 LOGIT = f"""coalesce(len(list_intersect(list_distinct({sql_words('lower(b.text)')}), {sql_words('lower(c.text)')})) / nullif(len(list_distinct({sql_words('lower(b.text)')})), 0), 0) * 10 - 5"""
@@ -70,9 +75,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_key ORDER BY fin
 
 
 def two_stage_rows(spark, sf):
+    """Every item of the benchmark asks, with the vector of its id."""
     questions = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     contents = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.md5("text").alias("chunk_key"), F.col("text").alias("content"))
-    return search.two_stage(asked(spark, sf, 8).join(questions, "query_id"), data(spark, sf), contents, SearchConfig(k=10, multiplier=5, min_similarity=0.05))
+    return search.two_stage(vectors_as_queries(spark, sf).join(questions, "query_id"), data(spark, sf), contents, SearchConfig(k=10, multiplier=5, min_similarity=0.05))
 
 
 @query(TWO_STAGE)
@@ -124,7 +130,7 @@ def format_context(spark, sf):
 
 def judged(spark, sf):
     e = table(spark, sf, "embeddings")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
     return e.select(F.col("vec_id").alias("doc_id"), "label").join(F.broadcast(q), "label").where("query_id <> doc_id").select("query_id", "doc_id", (1 + (F.col("doc_id") % 3 == 0).cast("int")).alias("relevance"))
 
 
@@ -171,7 +177,7 @@ def beir_run(spark, sf):
 
 @query(f"WITH {RANKED}, q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id < 10) SELECT round(avg(CASE WHEN r.query_id IS NULL THEN 0 ELSE 1 END), 6) AS success_rate FROM q LEFT JOIN (SELECT DISTINCT query_id FROM ranked WHERE score >= 0.5) r USING (query_id)")
 def success_rate(spark, sf):
-    return evaluate.success_rate(ranked(spark, sf).where("score >= 0.5"), asked(spark, sf, 10))
+    return evaluate.success_rate(ranked(spark, sf).where("score >= 0.5"), asked(spark, sf))
 
 
 @query()
@@ -181,12 +187,12 @@ def rag_answers(spark, sf):
     from docflow.plans.rag import RagPipeline
 
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.md5("text").alias("chunk_key"), "doc_id", F.col("source").alias("section"), F.col("text").alias("content"), hashing_encoder(F.col("text")).alias("embedding"))
-    questions = table(spark, sf, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    questions = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return RagPipeline(docs).query(questions)
 
 
 @query("SELECT q.vec_id AS a, d.vec_id AS b, round(list_dot_product(d.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS product FROM embeddings q, embeddings d WHERE q.vec_id < 3 AND d.vec_id < 50")
 def inner_products(spark, sf):
     e = table(spark, sf, "embeddings")
-    a = e.where("vec_id < 3").select(F.col("vec_id").alias("a"), F.col("embedding").alias("q"))
-    return e.where("vec_id < 50").crossJoin(F.broadcast(a)).select("a", F.col("vec_id").alias("b"), F.round(inner_product(F.col("embedding"), F.col("q")), 6).alias("product"))
+    a = asked(spark, sf).withColumnRenamed("query_id", "a")
+    return e.crossJoin(a).select("a", F.col("vec_id").alias("b"), F.round(inner_product(F.col("embedding"), F.col("q")), 6).alias("product"))
