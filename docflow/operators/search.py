@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docflow.config import IndexConfig, SearchConfig
 from docflow.functions.text import words
 from docflow.functions.vectors import cosine, inner_product
 
+#: Queries by which the recall of an index is measured, at most.
+RECALL_QUERIES = 256
+
 
 def score_pairs(queries: DataFrame, data: DataFrame, metric: Callable[[Column, Column], Column] = inner_product, digits: int = 6, max_broadcast: int = SearchConfig.max_broadcast_queries) -> DataFrame:
     """Every query (query_id, q) with every row of data (vec_id, embedding, ...), scored; the queries are broadcast only if counted
@@ -45,11 +49,32 @@ def build_index(data: DataFrame, config: IndexConfig) -> tuple[DataFrame, list]:
     return model.transform(points).withColumnRenamed("prediction", "cell").drop("features"), model.clusterCenters()
 
 
+def near_cells(spark: SparkSession, centers: list, queries: DataFrame) -> DataFrame:
+    """query_id, q, cell, near: the rank of each cell by its centre."""
+    cells = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)], "cell int, centre array<double>")
+    order = Window.partitionBy("query_id").orderBy(F.desc(inner_product(F.col("q"), F.col("centre"))), "cell")
+    return queries.crossJoin(F.broadcast(cells)).withColumn("near", F.row_number().over(order)).select("query_id", "q", "cell", "near")
+
+
+def with_recall(indexed: DataFrame, centers: list, queries: DataFrame, k: int, config: IndexConfig, least: float = 0.95) -> IndexConfig:
+    """config with the fewest probes, n_probe at least, that find the share `least` of the exact top k of sampled queries.
+
+    A sample only sets the number of probes; the probe answers every query.
+    """
+    sample = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(RECALL_QUERIES)
+    exact = batch_search(sample, indexed.select("vec_id", "embedding"), k).select("query_id", "vec_id")
+    at = exact.join(indexed.select("vec_id", "cell"), "vec_id").join(near_cells(indexed.sparkSession, centers, sample).drop("q"), ["query_id", "cell"])
+    found = {r.near: r.hits for r in at.groupBy("near").agg(F.count("*").alias("hits")).collect()}
+    total, n, hits = sum(found.values()), 0, 0
+    while hits < least * total:
+        n += 1
+        hits += found.get(n, 0)
+    return replace(config, n_probe=max(n, config.n_probe))
+
+
 def probe(indexed: DataFrame, centers: list, queries: DataFrame, k: int, config: IndexConfig) -> DataFrame:
     """Approximate top-k: only rows in the n_probe cells with the best centres are scored, an equi-join on the cell."""
-    spark = indexed.sparkSession
-    cells = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)], "cell int, centre array<double>")
-    near = queries.crossJoin(F.broadcast(cells)).withColumn("near", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(inner_product(F.col("q"), F.col("centre"))), "cell")))
+    near = near_cells(indexed.sparkSession, centers, queries)
     wanted = near.where(F.col("near") <= config.n_probe).select("query_id", "q", "cell")
     scored = indexed.join(wanted, "cell").withColumn("score", F.round(inner_product(F.col("embedding"), F.col("q")), 6))
     return top_k(scored.select("query_id", "vec_id", "score"), k)
@@ -90,4 +115,4 @@ def two_stage(queries: DataFrame, data: DataFrame, contents: DataFrame, config:
     return keep_first(best, ["query_id", "chunk_key"], [F.col("final_rank")])
 
 
-__all__ = ["batch_search", "build_index", "cosine", "keep_first", "lexical_score", "probe", "rerank", "score_pairs", "top_k", "two_stage", "with_min_similarity"]
+__all__ = ["batch_search", "build_index", "cosine", "keep_first", "lexical_score", "probe", "rerank", "score_pairs", "top_k", "two_stage", "with_min_similarity", "with_recall"]

@@ -77,3 +77,12 @@ def test_inner_products_of_all_rows(spark, sf, vectors):
     got = {(r.a, r.b): r["product"] for r in registry.QUERIES["inner_products"](spark, sf).collect()}
     assert got.keys() == {(a, b) for a in range(0, len(vectors), 100) for b in range(len(vectors))}
     assert all(abs(p - vectors[a] @ vectors[b]) < 2e-6 for (a, b), p in got.items())
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.1"])
+def test_recall_of_the_index(spark, folder):
+    path = f"/root/testdata/{folder}"
+    hits = lambda name: {(r.query_id, r.vec_id) for r in registry.QUERIES[name](spark, path).collect()}
+    exact, found = hits("vector_topk"), hits("ivf_search")
+    assert {q for q, _ in exact} == {q for q, _ in found}
+    assert len(exact & found) / len(exact) >= 0.9
