@@ -175,9 +175,12 @@ def table_pack(spark, sf):
 
 
 def elements(spark, sf):
-    """Lines of the benchmark's and documents' texts stand for layout elements of groups of documents."""
-    lines = structure.lines(docs(spark, sf))
-    return lines.where(F.col("line_number") < 12).select((F.col("doc_id") % 97).alias("doc_id"), (F.col("doc_id") * 12 + F.col("line_number")).cast("int").alias("idx"), F.col("line").alias("text"), (F.col("line_number") % 7).alias("page"))
+    """All lines of the documents' texts stand for layout elements of groups of documents, numbered from 0 in each group."""
+    from pyspark.sql import Window
+
+    lines = structure.lines(docs(spark, sf)).withColumn("group", F.col("doc_id") % 97)
+    idx = F.row_number().over(Window.partitionBy("group").orderBy("doc_id", "line_number")) - 1
+    return lines.select(F.col("group").alias("doc_id"), idx.alias("idx"), F.col("line").alias("text"), (F.col("line_number") % 7).alias("page"))
 
 
 ELEMENTS = "SELECT doc_id % 97 AS doc_id, CAST(doc_id * 12 + n AS INTEGER) AS idx, x AS text, CAST(n % 7 AS INTEGER) AS page FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents) WHERE n < 12"
