@@ -14,7 +14,7 @@ def text(spark, sf):
         F.lit(") revenue rose "), s(F.col("doc_id") % 50), F.lit(".5% to $3,"), s(100 + F.col("doc_id") % 900), F.lit(" million and 45 billion in Europe, the United States, Japan and the UK; EBITDA growth was quarterly. Fiscal year 2024 profit: "),
         F.lit("Dr. Alice Brown met Tom Reed. CEO Mary Ann and Acme Widget Holdings Inc, Blue Systems Ltd. "), "text",
     )
-    return table(spark, sf, "documents").where("lang = 'en'").select("doc_id", made.alias("t"))
+    return table(spark, sf, "documents").select("doc_id", made.alias("t"))
 
 
 TEXT = """t AS (SELECT doc_id, 'On 2' || doc_id % 3 || '/0' || (1 + doc_id % 9) || '/20' || (10 + doc_id % 15) || ' and Mar. ' || (1 + doc_id % 28) || ', 2021 (Q' || (1 + doc_id % 4) || ' 2023; in 1850, ' || (1890 + doc_id % 150)

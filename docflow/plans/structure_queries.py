@@ -29,7 +29,7 @@ def headings(spark, sf):
 @query(f"""WITH {HEADS}, c AS (SELECT doc_id, line_number AS chunk_id, line_number FROM l WHERE line_number % 5 = 0), f AS (SELECT doc_id, arg_min(struct_pack(level, heading), line_number) AS first FROM h GROUP BY 1)
 SELECT c.doc_id, c.chunk_id, c.line_number, coalesce(h.level, f.first.level) AS level, coalesce(h.heading, f.first.heading) AS heading FROM c ASOF LEFT JOIN h ON c.doc_id = h.doc_id AND c.line_number >= h.line_number LEFT JOIN f ON f.doc_id = c.doc_id""")
 def heading_asof(spark, sf):
-    chunks = structure.lines(markdown(docs(spark, sf))).where("line_number % 5 = 0").select("doc_id", F.col("line_number").alias("chunk_id"), "line_number")
+    chunks = structure.lines(markdown(docs(spark, sf))).select("doc_id", F.col("line_number").alias("chunk_id"), "line_number")
     return structure.heading_asof(chunks, heads(spark, sf))
 
 
@@ -112,8 +112,7 @@ SELECT doc_id, block, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS posi
 
 @query(SENTENCES)
 def sentences(spark, sf):
-    d = docs(spark, sf)
-    return chunk.sentences(markdown(d.where("lang = 'en'")))
+    return chunk.sentences(markdown(docs(spark, sf)))
 
 
 @query(f"SELECT doc_id, CASE WHEN length(text) - length(replace(replace(replace(text, '.', ''), '!', ''), '?', '')) <= 3 OR len({sql_words('text')}) < 100 THEN 512 ELSE 450 END AS max_tokens FROM documents")

@@ -162,7 +162,7 @@ SELECT doc_id, {sql_trim(r"regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g')"
 @query(CLEAN)
 def clean_text(spark, sf):
     dirty = F.concat(F.lit("Skip to main content\nHome > Reports\n***\n----------\n"), F.col("text"), F.lit("   \n.....\n_____\n\n\nGLYPH<c=3>end \x07"))
-    return docs(spark, sf).where("lang = 'en'").select("doc_id", clean.clean_text(dirty).alias("content"))
+    return docs(spark, sf).select("doc_id", clean.clean_text(dirty).alias("content"))
 
 
 W1, W2 = f"list_distinct({sql_words('lower(a.text)')})", f"list_distinct({sql_words('lower(b.text)')})"
