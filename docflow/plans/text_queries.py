@@ -175,7 +175,7 @@ def jaccard_pairs(spark, sf):
     return a.join(b, "doc_id").select("doc_id", F.round(t.jaccard(F.col("text"), F.col("next_text")), 6).alias("similarity"))
 
 
-# Chunks of ten lines' worth of documents: groups of eight documents stand for the chunks of one.
+# Whole documents as chunks: groups of eight documents stand for the chunks of one.
 CHUNKS = "SELECT doc_id // 8 AS doc_id, doc_id % 8 AS chunk_index, CASE doc_id % 4 WHEN 0 THEN ['A'] WHEN 1 THEN ['A', 'B'] WHEN 2 THEN ['C', 'D', 'E'] ELSE [] END AS section_path, substring(text, 1, CASE WHEN doc_id % 3 = 0 THEN 400 ELSE 150 END) AS content FROM documents"
 
 
@@ -183,7 +183,7 @@ def chunks(spark, sf):
     d = F.col("doc_id")
     none = F.array().cast("array<string>")
     path = F.when(d % 4 == 0, F.array(F.lit("A"))).when(d % 4 == 1, F.array(F.lit("A"), F.lit("B"))).when(d % 4 == 2, F.array(F.lit("C"), F.lit("D"), F.lit("E"))).otherwise(none)
-    return docs(spark, sf).select(F.floor(d / 8).alias("doc_id"), (d % 8).alias("chunk_index"), path.alias("section_path"), F.expr("substring(text, 1, CASE WHEN doc_id % 3 = 0 THEN 400 ELSE 150 END)").alias("content"))
+    return docs(spark, sf).select(F.floor(d / 8).alias("doc_id"), (d % 8).alias("chunk_index"), path.alias("section_path"), F.col("text").alias("content"))
 
 
 C1, C2 = f"list_distinct({sql_words('lower(content)')})", f"list_distinct({sql_words('lower(next_content)')})"
