@@ -18,7 +18,10 @@ and each give a row; a component's id is the least doc_id that is not null; othe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -269,8 +272,8 @@ def class_labels(docs: DataFrame, grams: int, k: int, num: int, den: int) -> Dat
     return components(stars.union(materialize(rest, "rest")))
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_copies (rows with the same set), for every row of docs."""
+def placed_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, n_shingles, fp, root (of the component; null without words), component_id, n_copies for every row of docs."""
     ship(docs.sparkSession)
     rows = materialize(members(docs, k), "members")
     grams = rows.agg(F.sum("n_shingles")).first()[0] or 0
@@ -278,21 +281,50 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     classes = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
     named = materialize(classes.join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("label", "fp")).select("fp", "root", "least", "n_copies"), "classes")
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(roots, "root").select("fp", "component_id", "n_copies")
-    return rows.join(of, "fp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    of = named.join(roots, "root").select("fp", "root", "component_id", "n_copies")
+    return rows.join(of, "fp", "left").select("doc_id", "n_shingles", "fp", "root", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_copies (rows with the same set), for every row of docs."""
+    return placed_rows(docs, k, num, den).select("doc_id", "n_shingles", "component_id", "n_copies")
+
+
+def set_print(k: int):
+    """The fingerprint of a text's set as a function of the text."""
+
+    @F.pandas_udf("binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        of = word_hashes()
+        for texts in batches:
+            sets = (gram_set(t, k, of) for t in texts)
+            yield pd.Series([fingerprint(s) if len(s) else None for s in sets], dtype=object)
+
+    return run
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each component, that with the least doc_id, and all their columns.
+    """docs with one row of each component, that with the least doc_id that is not null, and all their columns.
 
-    Rows that repeat a doc_id are told apart only among themselves, where there are any.
+    A row is known by its doc_id and its set's fingerprint; texts are hashed again only where ids are null or shared. Rows without
+    words all stay, but one of those that repeat doc_id and text.
     """
-    found = materialize(jaccard_components(docs, k, num, den), "components")
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("rows"))
-    heads = materialize(heads.withColumnRenamed("doc_id", "head"), "heads")
-    same = docs["doc_id"].eqNullSafe(F.col("head"))
-    kept = docs.join(heads.where("rows = 1"), same, "left_semi")
-    again = heads.where("rows > 1")
+    found = materialize(placed_rows(docs, k, num, den).select("doc_id", "fp", "root"), "components")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first")
+    heads = found.where("root is not null").groupBy("root").agg(first).select("first.doc_id", "first.fp")
+    heads = heads.union(found.where("root is null").select("doc_id", "fp").distinct()).toDF("head", "head_fp")
+    ids = found.groupBy("doc_id").agg((F.col("doc_id").isNull() | (F.count("*") > 1)).alias("shared"))
+    heads = materialize(heads.join(ids, F.col("head").eqNullSafe(F.col("doc_id"))).select("head", "head_fp", "shared"), "heads")
+    same = docs["doc_id"].eqNullSafe(heads["head"])
+    kept = docs.join(heads.where("not shared"), same, "left_semi")
+    again = heads.where("shared")
     if again.limit(1).count():
-        kept = kept.union(docs.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+        fp = "fp"
+        while fp in docs.columns:
+            fp += "_"
+        own = docs.join(again, same, "left_semi").withColumn(fp, set_print(k)(docs["text"]))
+        own = own.join(again, same & F.col(fp).eqNullSafe(heads["head_fp"]), "left_semi")
+        worded = own.where(F.col(fp).isNotNull()).dropDuplicates(["doc_id", fp])
+        bare = own.where(F.col(fp).isNull()).dropDuplicates(["doc_id", "text"])
+        kept = kept.union(worded.union(bare).drop(fp))
     return kept

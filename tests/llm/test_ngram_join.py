@@ -77,3 +77,12 @@ def test_repeated_and_null_rows(spark):
     assert ngram_join.jaccard_components(docs.limit(0)).count() == 0
     assert [r.doc_id for r in ngram_join.one_of_each(docs.where("doc_id = 1")).collect()] == [1]
     assert ngram_join.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_each_component_with_null_and_shared_ids(spark):
+    a, b, c, d = "a b c d e f", "q r s t u v", "g h i j k l", "m n o p w x"
+    kept = lambda rows: sorted(map(tuple, ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, fp string")).select("doc_id", "text").collect()), key=str)
+    assert kept([(1, a, ""), (None, a, ""), (None, b, ""), (None, c, "")]) == sorted([(1, a), (None, b), (None, c)], key=str)
+    assert kept([(1, a, ""), (1, b, ""), (2, b, ""), (3, c, "")]) == [(1, a), (1, b), (3, c)]
+    assert kept([(1, a, ""), (2, a, ""), (2, b, ""), (2, b.upper(), ""), (4, d, "")])[::2] == [(1, a), (4, d)]
+    assert kept([(7, "", ""), (7, "", ""), (7, " ", ""), (7, None, ""), (7, d, ""), (None, None, ""), (None, None, "")]) == sorted([(7, ""), (7, " "), (7, None), (7, d), (None, None)], key=str)
