@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from docflow.llm.hashing import Cache, shingles
+from docflow.llm.license_texts import FULL_TEXTS
 from docflow.session import ship
 
 SHINGLE = 5
@@ -30,7 +31,7 @@ CONTAINMENT = 0.8
 BANDS = 32
 MAX_TEMPLATES = 10_000
 
-# Short notices by which works state their license.
+# Short notices by which works state their license; the full texts are in license_texts.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": (
@@ -56,7 +57,39 @@ TEMPLATES = {
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
     ),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
+    "AGPL-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "Apache-2.0-short": "under the Apache License 2.0",
+    "BSD-disclaimer": (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+    ),
+    "BSD-short": "licensed under the BSD license",
+    "CC-BY-4.0": "Licensed under CC BY 4.0.",
+    "CC-BY-4.0-notice": "licensed under a Creative Commons Attribution 4.0 International License",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-SA-4.0-notice": "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "GPL-2.0-notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    ),
+    "ISC-notice": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "LGPL-2.1-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "MIT-short": "licensed under the MIT license",
+    "MIT-warranty": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+    ),
+    "Unlicense-notice": "This is free and unencumbered software released into the public domain.",
+} | FULL_TEXTS
 
 WORD = re.compile(r"[\w.]+")
 
@@ -97,12 +130,19 @@ class Scanner:
     def minhash(found: np.ndarray, factor: np.uint64) -> int:
         return int(((found * factor) ^ (found * factor >> np.uint64(29))).min())
 
+    def holds_any(self, found: np.ndarray) -> bool:
+        """Whether a template has one of these shingles; self.every is sorted."""
+        if not len(self.every):
+            return False
+        at = np.minimum(np.searchsorted(self.every, found), len(self.every) - 1)
+        return bool((self.every[at] == found).any())
+
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(template, containment, first word, end word) of the best window of each template found."""
         hashes = self.hashes(words_of(text or ""))
         found = shingles(hashes, self.k)
         n, best = len(found), {}
-        if not n or not np.isin(found, self.every).any():
+        if not n or not self.holds_any(found):
             return []  # no window of it can share a band with a template
         candidates: set[tuple[int, int, int]] = set()
         blocks = {width: np.arange(0, n, max(1, width // 2)) for width in self.classes}

@@ -47,3 +47,12 @@ def test_every_place(spark):
         for before in range(0, 90, 7):
             found = dict((n, s) for n, s, _, _ in scanner.scan("w " * before + t + " x" * (90 - before)))
             assert found.get(name) == 1
+
+
+def test_common_licenses_are_found():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    found = lambda t: {name for name, *_ in scanner.scan("some words before it " * 30 + t + " and some words after it" * 30)}
+    assert found("Licensed under the MIT license.") == {"MIT-short"}
+    assert found("This work is licensed under a Creative Commons Attribution 4.0 International License.") == {"CC-BY-4.0-notice"}
+    for name in ("GPL-2.0-text", "LGPL-2.1-text", "MPL-2.0-text", "BSD-disclaimer", "ISC-notice", "AGPL-3.0-notice", "MIT-warranty", "Unlicense-notice"):
+        assert name in found(licenses.TEMPLATES[name])
