@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docflow.functions import entities as e
 from docflow.plans.common import query, table
 
+
 def text(spark, sf):
     s = lambda c: c.cast("string")
     made = F.concat(
@@ -19,7 +20,7 @@ def text(spark, sf):
 
 TEXT = """t AS (SELECT doc_id, 'On 2' || doc_id % 3 || '/0' || (1 + doc_id % 9) || '/20' || (10 + doc_id % 15) || ' and Mar. ' || (1 + doc_id % 28) || ', 2021 (Q' || (1 + doc_id % 4) || ' 2023; in 1850, ' || (1890 + doc_id % 150)
  || ') revenue rose ' || doc_id % 50 || '.5% to $3,' || (100 + doc_id % 900) || ' million and 45 billion in Europe, the United States, Japan and the UK; EBITDA growth was quarterly. Fiscal year 2024 profit: '
- || 'Dr. Alice Brown met Tom Reed. CEO Mary Ann and Acme Widget Holdings Inc, Blue Systems Ltd. ' || text AS t FROM documents WHERE lang = 'en')"""
+ || 'Dr. Alice Brown met Tom Reed. CEO Mary Ann and Acme Widget Holdings Inc, Blue Systems Ltd. ' || text AS t FROM documents)"""
 
 
 def sql(patterns, each, total, source, keep="x <> ''"):

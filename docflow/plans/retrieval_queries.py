@@ -12,7 +12,7 @@ from docflow.plans.common import query, sql_tokens, sql_words, table
 from docflow.session import materialize
 
 DOT = "round(list_dot_product(d.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
-RANKED = f"""scored AS (SELECT q.vec_id AS query_id, d.vec_id, {DOT} AS score FROM embeddings q, embeddings d WHERE q.vec_id < 10 AND q.vec_id <> d.vec_id),
+RANKED = f"""scored AS (SELECT q.vec_id AS query_id, d.vec_id, {DOT} AS score FROM embeddings q, embeddings d WHERE q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)"""
 
 
@@ -33,17 +33,17 @@ def ranked(spark, sf, k=20):
     return search.batch_search(asked(spark, sf), data(spark, sf), k, exclude_self=True)
 
 
-def one(metric):
-    return f"""WITH s AS (SELECT d.vec_id, {metric} AS score FROM embeddings q, embeddings d WHERE q.vec_id = 0)
-    SELECT vec_id, score, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s ORDER BY score DESC, vec_id LIMIT 10"""
+def best_ten(metric):
+    return f"""WITH s AS (SELECT q.vec_id AS query_id, d.vec_id, {metric} AS score FROM embeddings q, embeddings d WHERE q.vec_id % 100 = 0)
+    SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= 10"""
 
 
-@query(one(DOT))
+@query(best_ten(DOT))
 def vector_topk(spark, sf):
     return search.batch_search(asked(spark, sf), data(spark, sf), 10).select("query_id", "vec_id", "score", "rank")
 
 
-@query(one("round(list_dot_product(d.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(d.embedding::DOUBLE[], d.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6)"))
+@query(best_ten("round(list_dot_product(d.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(d.embedding::DOUBLE[], d.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6)"))
 def cosine_topk(spark, sf):
     return search.batch_search(asked(spark, sf), data(spark, sf), 10, cosine).select("query_id", "vec_id", "score", "rank")
 
@@ -69,7 +69,7 @@ def ivf_search(spark, sf):
 
 
 LOGIT = f"""coalesce(len(list_intersect(list_distinct({sql_words('lower(b.text)')}), {sql_words('lower(c.text)')})) / nullif(len(list_distinct({sql_words('lower(b.text)')})), 0), 0) * 10 - 5"""
-TWO_STAGE = f"""WITH scored AS (SELECT q.vec_id AS query_id, d.vec_id, {DOT} AS score FROM embeddings q, embeddings d WHERE q.vec_id < 8),
+TWO_STAGE = f"""WITH scored AS (SELECT q.vec_id AS query_id, d.vec_id, {DOT} AS score FROM embeddings q, embeddings d WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
 first AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored) WHERE rank <= 50 AND score >= 0.05),
 named AS (SELECT f.*, c.text AS content, md5(c.text) AS chunk_key, {LOGIT} AS logit FROM first f JOIN documents c ON c.doc_id = f.vec_id JOIN benchmark b ON b.item_id = f.query_id),
 best AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY logit DESC, rank) - 1 AS INTEGER) AS final_rank FROM named)
@@ -137,7 +137,7 @@ def judged(spark, sf):
     return e.select(F.col("vec_id").alias("doc_id"), "label").join(F.broadcast(q), "label").where("query_id <> doc_id").select("query_id", "doc_id", (1 + (F.col("doc_id") % 3 == 0).cast("int")).alias("relevance"))
 
 
-METRICS = f"""WITH {RANKED}, qrels AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, 1 + CAST(d.vec_id % 3 = 0 AS INTEGER) AS relevance FROM embeddings q JOIN embeddings d USING (label) WHERE q.vec_id < 10 AND q.vec_id <> d.vec_id),
+METRICS = f"""WITH {RANKED}, qrels AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, 1 + CAST(d.vec_id % 3 = 0 AS INTEGER) AS relevance FROM embeddings q JOIN embeddings d USING (label) WHERE q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id),
 judged AS (SELECT query_id, count(*) AS n_relevant FROM qrels WHERE relevance > 0 GROUP BY 1), ks AS (SELECT unnest([1, 3, 5, 10, 20]) AS k),
 hits AS (SELECT r.query_id, rank, coalesce(relevance, 0) AS gain FROM ranked r LEFT JOIN qrels j ON j.query_id = r.query_id AND j.doc_id = r.vec_id WHERE rank <= 20),
 run AS (SELECT *, sum(CAST(gain > 0 AS INTEGER)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS so_far FROM hits),
@@ -178,7 +178,7 @@ def beir_run(spark, sf):
     return runs.select("query_id", F.size("results").cast("long").alias("n_results"), F.array_join(parts, ",").alias("results"))
 
 
-@query(f"WITH {RANKED}, q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id < 10) SELECT round(avg(CASE WHEN r.query_id IS NULL THEN 0 ELSE 1 END), 6) AS success_rate FROM q LEFT JOIN (SELECT DISTINCT query_id FROM ranked WHERE score >= 0.5) r USING (query_id)")
+@query(f"WITH {RANKED}, q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 100 = 0) SELECT round(avg(CASE WHEN r.query_id IS NULL THEN 0 ELSE 1 END), 6) AS success_rate FROM q LEFT JOIN (SELECT DISTINCT query_id FROM ranked WHERE score >= 0.5) r USING (query_id)")
 def success_rate(spark, sf):
     return evaluate.success_rate(ranked(spark, sf).where("score >= 0.5"), asked(spark, sf))
 
@@ -194,7 +194,7 @@ def rag_answers(spark, sf):
     return RagPipeline(docs).query(questions)
 
 
-@query("SELECT q.vec_id AS a, d.vec_id AS b, round(list_dot_product(d.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS product FROM embeddings q, embeddings d WHERE q.vec_id < 3 AND d.vec_id < 50")
+@query("SELECT q.vec_id AS a, d.vec_id AS b, round(list_dot_product(d.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS product FROM embeddings q, embeddings d WHERE q.vec_id % 100 = 0")
 def inner_products(spark, sf):
     e = table(spark, sf, "embeddings")
     a = asked(spark, sf).withColumnRenamed("query_id", "a")

@@ -26,7 +26,7 @@ def headings(spark, sf):
     return heads(spark, sf)
 
 
-@query(f"""WITH {HEADS}, c AS (SELECT doc_id, line_number AS chunk_id, line_number FROM l WHERE line_number % 5 = 0), f AS (SELECT doc_id, arg_min(struct_pack(level, heading), line_number) AS first FROM h GROUP BY 1)
+@query(f"""WITH {HEADS}, c AS (SELECT doc_id, line_number AS chunk_id, line_number FROM l), f AS (SELECT doc_id, arg_min(struct_pack(level, heading), line_number) AS first FROM h GROUP BY 1)
 SELECT c.doc_id, c.chunk_id, c.line_number, coalesce(h.level, f.first.level) AS level, coalesce(h.heading, f.first.heading) AS heading FROM c ASOF LEFT JOIN h ON c.doc_id = h.doc_id AND c.line_number >= h.line_number LEFT JOIN f ON f.doc_id = c.doc_id""")
 def heading_asof(spark, sf):
     chunks = structure.lines(markdown(docs(spark, sf))).select("doc_id", F.col("line_number").alias("chunk_id"), "line_number")
@@ -102,7 +102,7 @@ def structure_info(spark, sf):
     return heads(spark, sf).groupBy("doc_id").agg(F.count_if(level == 1).alias("titles"), F.count_if(level == 2).alias("sections"), F.count_if(level >= 3).alias("subsections"), F.array_join(F.sort_array(F.collect_set("level")), ",").alias("levels"))
 
 
-SENTENCES = rf"""WITH l AS (SELECT doc_id, {sql_trim('u')} AS line, n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS u, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM {MARKDOWN_SQL} m WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')) WHERE {sql_trim('u')} <> ''),
+SENTENCES = rf"""WITH l AS (SELECT doc_id, {sql_trim('u')} AS line, n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS u, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM {MARKDOWN_SQL}) WHERE {sql_trim('u')} <> ''),
 c AS (SELECT *, line LIKE '#%' AS hd, CASE WHEN line LIKE '#%' OR coalesce(lag(line) OVER w LIKE '#%', true) THEN 1 ELSE 0 END AS change FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
 b AS (SELECT *, CAST(sum(change) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM c),
 g AS (SELECT doc_id, block, hd, string_agg(line, ' ' ORDER BY n) AS body FROM b GROUP BY ALL),
@@ -182,7 +182,7 @@ def elements(spark, sf):
     return lines.select(F.col("group").alias("doc_id"), idx.alias("idx"), F.col("line").alias("text"), (F.col("line_number") % 7).alias("page"))
 
 
-ELEMENTS = "SELECT doc_id % 97 AS doc_id, CAST(doc_id * 12 + n AS INTEGER) AS idx, x AS text, CAST(n % 7 AS INTEGER) AS page FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents) WHERE n < 12"
+ELEMENTS = "SELECT doc_id % 97 AS doc_id, CAST(row_number() OVER (PARTITION BY doc_id % 97 ORDER BY doc_id, n) - 1 AS INTEGER) AS idx, x AS text, CAST(n % 7 AS INTEGER) AS page FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents)"
 
 
 def parts(spark, sf):

@@ -152,7 +152,7 @@ def nonblank_docs(spark, sf):
 
 
 DIRTY = r"""'Skip to main content' || chr(10) || 'Home > Reports' || chr(10) || '***' || chr(10) || '----------' || chr(10) || text || '   ' || chr(10) || '.....' || chr(10) || '_____' || chr(10) || chr(10) || chr(10) || 'GLYPH<c=3>end ' || chr(7)"""
-CLEAN = rf"""WITH d AS (SELECT doc_id, regexp_replace({DIRTY}, '[\x00-\x08\x0B\x0C\x0E-\x1F]|GLYPH<[^>]*>', ' ', 'g') AS t FROM documents WHERE lang = 'en'),
+CLEAN = rf"""WITH d AS (SELECT doc_id, regexp_replace({DIRTY}, '[\x00-\x08\x0B\x0C\x0E-\x1F]|GLYPH<[^>]*>', ' ', 'g') AS t FROM documents),
 l AS (SELECT doc_id, list_transform(list_filter(string_split(t, chr(10)), lambda x: {sql_trim('x')} = '' OR NOT ((length({sql_trim('x')}) <= 30 AND regexp_matches({sql_trim('x')}, '(?i)skip\s+to\s+(main\s+)?content|skip\s+to\s+homepage|toggle\s+navigation|breadcrumb|^\s*(home\s*[>›»]|[>›»])\s*'))
  OR regexp_matches(x, '^\s*[-•·▪▫◦‣⁃]+\s*$|^\s*[─━═_]{{3,}}\s*$|^\s*\.{{3,}}\s*$|^\s*[^\w\s]{{1,2}}\s*$'))), lambda x: CASE WHEN {sql_trim('x')} = '' THEN '' ELSE x END) AS ls FROM d),
 j AS (SELECT doc_id, regexp_replace(regexp_replace(array_to_string(ls, chr(10)), '[ \t]{{2,}}', ' ', 'g'), '(?m)[ \t]+$', '', 'g') AS t FROM l)
@@ -176,7 +176,7 @@ def jaccard_pairs(spark, sf):
 
 
 # Whole documents as chunks: groups of eight documents stand for the chunks of one.
-CHUNKS = "SELECT doc_id // 8 AS doc_id, doc_id % 8 AS chunk_index, CASE doc_id % 4 WHEN 0 THEN ['A'] WHEN 1 THEN ['A', 'B'] WHEN 2 THEN ['C', 'D', 'E'] ELSE [] END AS section_path, substring(text, 1, CASE WHEN doc_id % 3 = 0 THEN 400 ELSE 150 END) AS content FROM documents"
+CHUNKS = "SELECT doc_id // 8 AS doc_id, doc_id % 8 AS chunk_index, CASE doc_id % 4 WHEN 0 THEN ['A'] WHEN 1 THEN ['A', 'B'] WHEN 2 THEN ['C', 'D', 'E'] ELSE [] END AS section_path, text AS content FROM documents"
 
 
 def chunks(spark, sf):
