@@ -53,10 +53,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As materialize, but in buckets by key: what is dealt out by key is joined to it without moving it.
+
+    There are as many buckets as shuffle partitions; with fewer, Spark would deal the table out again.
+    """
+    spark = df.sparkSession
+    table = f"docflow_{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{checkpoint_dir(spark)}/docflow/{table}"
+    df.write.bucketBy(n, key).format("parquet").option("compression", "zstd").option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what materialize wrote, once no result that reads it is needed any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/docflow")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for table in spark.catalog.listTables(pattern="docflow_*"):
+        spark.sql(f"DROP TABLE IF EXISTS {table.name}")
 
 
 def ship(spark: SparkSession) -> None:
