@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+
+#: Keys that are longer are made again each time, so that the bytes of a cache are bounded by its entries.
+LONG_KEY = 64
 
 
 class Cache(dict):
@@ -13,6 +17,8 @@ class Cache(dict):
         self.make, self.entries, self.old = make, entries, {}
 
     def __missing__(self, key):
+        if len(key) > LONG_KEY:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
@@ -40,3 +46,17 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n])
     return out
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Unsigned 64-bit numbers, the lowest bytes of all before the next ones, without the highest ones that are 0, compressed."""
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpack(packed: bytes, n: int) -> np.ndarray:
+    width = packed[0]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(packed[1:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.view("<u8").reshape(-1)

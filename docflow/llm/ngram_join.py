@@ -1,16 +1,22 @@
 """N-gram Jaccard join by vertical partitioning: the global order of n-grams (by hash) is cut into fragments, overlaps are counted in
 each fragment on their own and summed for each pair.
 
-1. Every text becomes a set of 64-bit n-gram hashes and a 128-bit fingerprint of the set. Texts of one set are one class.
-2. Each fragment holds all occurrences of its n-grams, so it knows how many classes have each of them. An n-gram of one class links
-   nothing, so it is dropped; what remains is sent to the class. A class that keeps too few n-grams has no partner. The others keep a
+1. Every text becomes a set of n-gram hashes and a 128-bit fingerprint of the set. Texts of one set are one class, and one block of
+   documents is its home. Blocks keep their sets in the shared folder, in buckets, so that what comes back to a block is joined to it
+   without a shuffle of the sets.
+2. A block sends the distinct n-grams of its home classes to the fragments, without owners: ascending, as compressed steps, with the
+   number of classes that have them. A fragment adds these numbers up and sends them back. A frequent n-gram is one entry a block.
+3. Back in its block, an n-gram of one class links nothing. A class that keeps too few n-grams has no partner. The others keep a
    prefix, the rarest n-grams first: two sets that are similar enough share an n-gram of both prefixes.
-3. Stars: among the classes that share a prefix n-gram, the one with the fewest n-grams of its own is the centre. Each class is
+4. Stars: among the classes that share a prefix n-gram, the one with the fewest n-grams of its own is the centre. Each class is
    compared with the centre that it meets most often. This is one pair for each class, however large a group of near copies is.
-4. The rest: pairs that share a prefix n-gram and are not connected yet. In each group only classes outside its largest component
-   are paired, and only if the counts allow the similarity: what two sets share comes no earlier in either than their first common
-   n-gram, so it is no more than what follows that. No pair that may be linked is dropped, so no link between components is lost.
-5. Overlaps of the pairs are counted by fragment and summed; components are found by distributed label propagation.
+   Then again with other centres: the classes with equal MinHash bands of their prefixes, where they are not connected yet.
+5. The rest: pairs that share a prefix n-gram and are not connected yet. In each group only classes outside its largest component
+   are paired, and only if the counts allow the similarity: what two sets share is what their prefixes share, and no more than what
+   follows their last common n-gram. No pair that may be linked is dropped, so no link between components is lost.
+6. Overlaps of the pairs are counted by fragment and summed; components are found by distributed label propagation.
+
+n-grams are compared by 48 bits of their hash: two sets of 300 that differ seem to share one n-gram more with a chance of 3e-10.
 
 Defined results: a null text is an empty one; texts without words have no set and are linked with nothing; repeated rows are copies
 and each give a row; a component's id is the least doc_id that is not null; other columns are ignored (`one_of_each` returns them).
@@ -27,15 +33,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.hashing import Cache, shingles
-from docflow.session import materialize, ship
+from docflow.llm.hashing import Cache, mix, pack, shingles, unpack
+from docflow.session import materialize, materialize_buckets, ship
 
-#: Occurrences of n-grams in one fragment, about.
+#: Entries of n-grams in one fragment, about.
 FRAGMENT_GRAMS = 2_000_000
-#: Occurrences in one block of documents that a task sends at once.
+#: Occurrences in one block of documents (more only where one text has more).
 BLOCK_GRAMS = 1_000_000
+#: Bits of a hash that are sent and compared.
+BITS = 48
 #: Fragments in which the overlaps of pairs are counted.
 PARTS = 8
+#: MinHash bands of a prefix, and hashes in each.
+BANDS, BAND_ROWS = 8, 3
 
 
 def word_hashes() -> Cache:
@@ -52,64 +62,51 @@ def fingerprint(grams: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(grams.tobytes())
 
 
-def members(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, fp (null for an empty set)."""
-
-    def run(batches):
-        of = word_hashes()
-        for b in batches:
-            n, fps = [], []
-            for i in range(0, b.num_rows, 256):
-                for text in b.slice(i, 256).column(1).to_pylist():
-                    grams = gram_set(text, k, of)
-                    n.append(len(grams))
-                    fps.append(fingerprint(grams) if len(grams) else None)
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(fps, pa.binary())], ["doc_id", "n_shingles", "fp"])
+HASHED_SCHEMA = "block long, idx int, doc_id long, n_shingles long, fp binary, fps binary, sizes binary, grams binary"
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary")
 
+def hashed(docs: DataFrame, k: int) -> DataFrame:
+    """One row for each document (block, idx of its class there, doc_id, n_shingles, fp; idx and fp null for an empty set), and one for
+    each block with its classes (fps, sizes, grams)."""
 
-FRAGMENT_SCHEMA = "fragment int, fps binary, n binary, counts binary, grams binary"
+    def table(rows: dict[str, list], n: int) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4)
+        names = ("block", "idx", "doc_id", "n_shingles", "fp", "fps", "sizes", "grams")
+        return pa.record_batch([pa.array(rows.get(c, [None] * n), t) for c, t in zip(names, kinds, strict=True)], list(names))
 
-
-def fragments(docs: DataFrame, k: int, n_fragments: int) -> DataFrame:
-    """The sets cut by the order of n-grams: one row for each block of documents and fragment, of packed arrays."""
-
-    def cut(sets: dict[bytes, np.ndarray]) -> pa.RecordBatch:
-        fps = np.frombuffer(b"".join(sets), np.uint64).reshape(-1, 2)
-        sizes = np.array([len(s) for s in sets.values()], np.int32)
-        grams = np.concatenate(list(sets.values()))
-        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        of = ((grams >> np.uint64(32)) * np.uint64(n_fragments) >> np.uint64(32)).astype(np.int32)
-        order = np.argsort(of, kind="stable")
-        of, grams, owner = of[order], grams[order], owner[order]
-        starts = np.flatnonzero(np.diff(of, prepend=-1))
-        rows = []
-        for a, b in zip(starts, [*starts[1:], len(of)], strict=True):
-            own, counts = np.unique(owner[a:b], return_counts=True)
-            rows.append((int(of[a]), fps[own].tobytes(), sizes[own].tobytes(), counts.astype(np.int32).tobytes(), grams[a:b].tobytes()))
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], ["fragment", "fps", "n", "counts", "grams"])
+    def whole(block: int, sets: dict[bytes, tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        grams = [g >> np.uint64(64 - BITS) for _, g in sets.values()]
+        steps = np.concatenate([np.diff(g, prepend=np.uint64(0)) for g in grams])
+        sizes = np.array([len(g) for g in grams], np.int64)
+        return table({"block": [block], "fps": [b"".join(sets)], "sizes": [sizes.tobytes()], "grams": [pack(steps)]}, 1)
 
     def run(batches):
-        of, sets, held = word_hashes(), {}, 0
+        from pyspark import TaskContext
+
+        of, block = word_hashes(), TaskContext.get().partitionId() << 32
+        sets, held = {}, 0
         for b in batches:
             for i in range(0, b.num_rows, 256):
-                for text in b.slice(i, 256).column(0).to_pylist():
+                part = b.slice(i, 256)
+                rows = {"block": [], "idx": [], "doc_id": part.column(0).to_pylist(), "n_shingles": [], "fp": []}
+                for text in part.column(1).to_pylist():
                     grams = gram_set(text, k, of)
-                    if len(grams) and (key := fingerprint(grams)) not in sets:
-                        sets[key] = grams
+                    rows["block"].append(block)
+                    rows["n_shingles"].append(len(grams))
+                    key = fingerprint(grams) if len(grams) else None
+                    rows["fp"].append(key)
+                    if key and key not in sets:
+                        sets[key] = len(sets), grams
                         held += len(grams)
-                        if held >= BLOCK_GRAMS:
-                            yield cut(sets)
-                            sets, held = {}, 0
+                    rows["idx"].append(sets[key][0] if key else None)
+                    if held >= BLOCK_GRAMS:
+                        yield whole(block, sets)
+                        sets, held, block = {}, 0, block + 1
+                yield table(rows, part.num_rows)
         if sets:
-            yield cut(sets)
-
-    return docs.select("text").mapInArrow(run, FRAGMENT_SCHEMA)
-
+            yield whole(block, sets)
 
-def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+    return docs.select("doc_id", "text").mapInArrow(run, HASHED_SCHEMA)
 
 
 def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,89 +115,125 @@ def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(sorted_)))
 
 
-def _classes(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row of the first of each distinct fingerprint, and for each row the number of its fingerprint."""
-    order = np.lexsort((fps[:, 1], fps[:, 0]))
-    s = fps[order]
-    new = np.concatenate([[True], (s[1:] != s[:-1]).any(1)]) if len(s) else np.zeros(0, bool)
-    number = np.empty(len(fps), np.int64)
-    number[order] = np.cumsum(new) - 1
-    return order[new], number
+def home_sets(block: pa.Table, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fps, sizes, grams one set after the other) of the classes idx of a block's row."""
+    sizes = np.frombuffer(block.column("sizes")[0].as_py(), np.int64)
+    total = np.cumsum(unpack(block.column("grams")[0].as_py(), int(sizes.sum())))  # steps in each set: subtract what came before it
+    ends = np.cumsum(sizes)
+    before = np.concatenate([[np.uint64(0)], total[ends[:-1] - 1]]).astype(np.uint64)
+    grams = total - np.repeat(before, sizes)
+    fps = np.frombuffer(block.column("fps")[0].as_py(), np.uint64).reshape(-1, 2)
+    home = np.zeros(len(sizes), bool)
+    home[idx] = True
+    return fps[home], sizes[home], grams[np.repeat(home, sizes)]
 
 
-SHARED_SCHEMA = "bucket int, fps binary, n binary, counts binary, grams binary, dfs binary"
+def fragment_starts(grams: np.ndarray, n_fragments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fragments of ascending n-grams and where each begins."""
+    of = ((grams >> np.uint64(BITS - 32)) * np.uint64(n_fragments) >> np.uint64(32)).astype(np.int64)
+    starts, _ = _runs(of)
+    return of[starts], starts
 
 
-def shared_grams(frags: DataFrame, n_buckets: int) -> DataFrame:
-    """For each fragment, the n-grams that two classes or more have, with the number of those, dealt out by class."""
+SENT_SCHEMA = "block long, fragment int, size int, steps binary, counts binary"
 
-    def count(table: pa.Table) -> pa.Table:
-        fps = _joined(table, "fps", np.uint64).reshape(-1, 2)
-        n, counts, grams = _joined(table, "n", np.int32), _joined(table, "counts", np.int32), _joined(table, "grams", np.uint64)
-        first, _ = _classes(fps)
-        keep = np.zeros(len(fps), bool)
-        keep[first] = True
-        grams = grams[np.repeat(keep, counts)]
-        fps, n, counts = fps[keep], n[keep], counts[keep]
-        owner = np.repeat(np.arange(len(fps), dtype=np.int32), counts)
-        order = np.argsort(grams, kind="stable")
-        grams, owner = grams[order], owner[order]
-        _, lengths = _runs(grams)
-        df = np.repeat(lengths, lengths)
-        grams, owner, df = grams[df > 1], owner[df > 1], df[df > 1]
-        bucket = (fps[:, 0] % np.uint64(n_buckets)).astype(np.int32)
-        order = np.lexsort((owner, bucket[owner]))
-        grams, owner, df = grams[order], owner[order], df[order].astype(np.int32)
-        starts, lengths = _runs(bucket[owner])
-        rows = []
-        for a, size in zip(starts, lengths, strict=True):
-            at = slice(a, a + size)
-            begin, own_counts = _runs(owner[at])
-            own = owner[at][begin]
-            rows.append((int(bucket[own[0]]), fps[own].tobytes(), n[own].tobytes(), own_counts.astype(np.int32).tobytes(), grams[at].tobytes(), df[at].tobytes()))
-        columns = zip(*rows, strict=True) if rows else ((),) * 6
-        return pa.table({name: pa.array(c, t) for name, c, t in zip(["bucket", "fps", "n", "counts", "grams", "dfs"], columns, [pa.int32(), *[pa.binary()] * 5], strict=True)})
 
-    return frags.groupBy("fragment").applyInArrow(count, SHARED_SCHEMA)
+def sent_grams(blocks: DataFrame, homes: DataFrame, n_fragments: int) -> DataFrame:
+    """The distinct n-grams of each block's home classes, ascending, and the number of these classes that have each, by fragment."""
 
+    def send(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        if left.num_rows and right.num_rows:
+            _, _, grams = home_sets(left, right.column("idx").to_numpy())
+            grams = np.sort(grams)
+            starts, counts = _runs(grams)
+            grams, counts = grams[starts], counts.astype(np.uint64)
+            of, begin = fragment_starts(grams, n_fragments)
+            for f, a, b in zip(of, begin, np.append(begin[1:], len(grams)), strict=True):
+                rows.append((key[0].as_py(), int(f), int(b - a), pack(np.diff(grams[a:b], prepend=np.uint64(0))), pack(counts[a:b] - np.uint64(1))))
+        columns = zip(*rows, strict=True) if rows else ((),) * 5
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["block", "fragment", "size", "steps", "counts"])
 
-CANDIDATE_SCHEMA = "fp binary, n long, m long, parts array<array<long>>, prefix array<long>"
+    return blocks.groupBy("block").cogroup(homes.groupBy("of_block")).applyInArrow(send, SENT_SCHEMA)
 
 
-def candidates(shared: DataFrame, num: int, den: int) -> DataFrame:
-    """Classes that may have a partner: fp, set size n, shared n-grams m, these n-grams by part of the order, and the prefix."""
+def frequencies(sent: DataFrame) -> DataFrame:
+    """of_block, fragment, dfs: for the n-grams that a block sent to a fragment, the number of classes that have them."""
 
-    def gather(table: pa.Table) -> pa.Table:
-        fps = _joined(table, "fps", np.uint64).reshape(-1, 2)
-        n, counts = _joined(table, "n", np.int32), _joined(table, "counts", np.int32)
-        grams, df = _joined(table, "grams", np.uint64), _joined(table, "dfs", np.int32)
-        first, number = _classes(fps)
-        fps, n = fps[first], n[first].astype(np.int64)
-        m = np.bincount(number, counts, len(first)).astype(np.int64)
+    def count(table: pa.Table) -> pa.Table:
+        sizes = table.column("size").to_numpy()
+        grams = np.concatenate([np.cumsum(unpack(x.as_py(), n)) for x, n in zip(table.column("steps"), sizes, strict=True)])
+        counts = np.concatenate([unpack(x.as_py(), n) for x, n in zip(table.column("counts"), sizes, strict=True)]) + np.uint64(1)
+        order = np.argsort(grams, kind="stable")
+        starts, lengths = _runs(grams[order])
+        df = np.empty(len(grams), np.uint64)
+        df[order] = np.repeat(np.add.reduceat(counts[order], starts), lengths)
+        ends = np.cumsum(sizes)
+        packed = [pack(df[b - n : b] - np.uint64(1)) for b, n in zip(ends, sizes, strict=True)]
+        return pa.table({"of_block": table.column("block"), "fragment": table.column("fragment"), "dfs": pa.array(packed, pa.binary())})
+
+    return sent.groupBy("fragment").applyInArrow(count, "of_block long, fragment int, dfs binary")
+
+
+CANDIDATE_SCHEMA = "fp binary, n long, m long, parts array<array<long>>, prefix array<long>, bands array<long>"
+
+
+def minhash_bands(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A key for each set (of sizes[i] > 0 n-grams, one after the other) and band."""
+    starts = np.cumsum(sizes) - sizes
+    out = np.zeros((len(sizes), BANDS), np.uint64)
+    for band in range(BANDS):
+        for row in range(BAND_ROWS):
+            least = np.minimum.reduceat(mix(grams + np.uint64((band * BAND_ROWS + row + 1) << BITS)), starts)
+            out[:, band] = mix(out[:, band] * np.uint64(31) + least)
+        out[:, band] += np.uint64(band)
+    return out
+
+
+def candidates(blocks: DataFrame, homes: DataFrame, dfs: DataFrame, n_fragments: int, num: int, den: int) -> DataFrame:
+    """Classes that may have a partner: fp, set size n, shared n-grams m, these n-grams by part of the order, the prefix, its bands."""
+
+    def gather(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = pa.table([pa.array([], t) for t in kinds], names=names)
+        idx = right.column("idx").drop_null().to_numpy()
+        if not left.num_rows or not len(idx):
+            return empty
+        fps, n, grams = home_sets(left, idx)
+        every, inverse = np.unique(grams, return_inverse=True)
+        of, begin = fragment_starts(every, n_fragments)
+        sizes = dict(zip(of.tolist(), np.diff(np.append(begin, len(every))).tolist(), strict=True))
+        found = {f.as_py(): x.as_py() for f, x in zip(right.column("fragment"), right.column("dfs"), strict=True) if f.is_valid}
+        df = np.concatenate([unpack(found[f], sizes[f]) for f in sorted(sizes)])[inverse] + np.uint64(1)
+        owner = np.repeat(np.arange(len(n)), n)
+        m = np.bincount(owner[df > 1], minlength=len(n))
         stays = den * m >= num * n
-        owner = np.repeat(number, counts)
-        at = stays[owner]
-        renumber = np.cumsum(stays) - 1
-        grams, df, owner, fps, n, m = grams[at], df[at], renumber[owner[at]], fps[stays], n[stays], m[stays]
+        if not stays.any():
+            return empty
+        at = stays[owner] & (df > 1)
+        owner, grams, df = (np.cumsum(stays) - 1)[owner[at]], grams[at], df[at]
+        fps, n, m = fps[stays], n[stays], m[stays]
         order = np.lexsort((grams, df, owner))
-        ends = np.cumsum(m)
-        place = np.arange(len(grams)) - np.repeat(ends - m, m)
-        size = np.clip(n + (-num * n) // den + 1 - (n - m), 0, m)  # n - ceil(num n / den) + 1, less the n-grams of its own
+        place = np.arange(len(grams)) - np.repeat(np.cumsum(m) - m, m)
+        size = n + (-num * n) // den + 1 - (n - m)  # n - ceil(num n / den) + 1, less the n-grams of its own; 1 at least
         prefix = grams[order][place < np.repeat(size, m)]
-        order = np.lexsort((grams, owner))
-        grams, owner = grams[order], owner[order]
-        part = (grams >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64)
+        part = (grams >> np.uint64(BITS - PARTS.bit_length() + 1)).astype(np.int64)  # grams ascend in each set
         sizes = np.bincount(owner * PARTS + part, minlength=len(n) * PARTS)
         inner = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(grams.view(np.int64)))
-        return pa.table(
-            {
-                "fp": pa.array([x.tobytes() for x in fps], pa.binary()), "n": pa.array(n), "m": pa.array(m),
-                "parts": pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * PARTS + 1, PARTS), pa.int32()), inner),
-                "prefix": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(prefix.view(np.int64))),
-            }
-        )
-
-    return shared.groupBy("bucket").applyInArrow(gather, CANDIDATE_SCHEMA)
+        columns = [
+            pa.array([x.tobytes() for x in fps], pa.binary()), pa.array(n), pa.array(m),
+            pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * PARTS + 1, PARTS), pa.int32()), inner),
+            pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(prefix.view(np.int64))),
+            pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * BANDS + 1, BANDS), pa.int32()), pa.array(minhash_bands(prefix, size).reshape(-1).view(np.int64))),
+        ]
+        return pa.table(columns, names=names)
+
+    names = ["fp", "n", "m", "parts", "prefix", "bands"]
+    longs = pa.list_(pa.int64())
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.list_(longs), longs, longs]
+    back = homes.select("of_block", "idx", F.lit(None).cast("int").alias("fragment"), F.lit(None).cast("binary").alias("dfs"))
+    back = back.union(dfs.select("of_block", F.lit(None).cast("int"), "fragment", "dfs"))
+    return blocks.groupBy("block").cogroup(back.groupBy("of_block")).applyInArrow(gather, CANDIDATE_SCHEMA)
 
 
 def linked(overlap: Column, nx: Column, ny: Column, num: int, den: int) -> Column:
@@ -236,52 +269,75 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _pair_columns(x: str, y: str) -> list[Column]:
-    return [F.col(f"{x}.fp").alias("x"), F.col(f"{y}.fp").alias("y"), F.col(f"{x}.n").alias("nx"), F.col(f"{y}.n").alias("ny")]
-
-
 def star_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
     """Each class with the centre that it meets most often."""
     centre = postings.groupBy("g").agg(F.min(F.struct((F.col("n") - F.col("m")).alias("own"), "fp", "n", "m")).alias("c"), F.count("*").alias("size")).where("size > 1")
+    centre = materialize(centre, "centres")  # so that the join is a stage of its own, in which a frequent n-gram can be split
     met = postings.join(centre, "g").where(F.col("fp") != F.col("c.fp")).where(linked(F.least("m", "c.m"), F.col("n"), F.col("c.n"), num, den))
     votes = met.groupBy("fp", "n", F.col("c.fp").alias("y"), F.col("c.n").alias("ny")).agg(F.count("*").alias("votes"))
     best = votes.groupBy("fp", "n").agg(F.max(F.struct("votes", "y", "ny")).alias("b"))
     return best.select(F.col("fp").alias("x"), F.col("b.y").alias("y"), F.col("n").alias("nx"), F.col("b.ny").alias("ny"))
 
 
+def band_pairs(sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """Each class with the centres of its bands, where these are in other components."""
+    placed = _labelled(sets.select("fp", "n", "m", "bands"), labels)
+    keys = materialize(placed.select("fp", "n", "m", "label", F.explode("bands").alias("key")), "bands")
+    centre = keys.groupBy("key").agg(F.min(F.struct("fp", "n", "m", "label")).alias("c"), F.count("*").alias("size")).where("size > 1").drop("size")
+    met = keys.join(materialize(centre, "band-centres"), "key").where((F.col("label") != F.col("c.label")) & linked(F.least("m", "c.m"), F.col("n"), F.col("c.n"), num, den))
+    return met.select(F.col("fp").alias("x"), F.col("c.fp").alias("y"), F.col("n").alias("nx"), F.col("c.n").alias("ny")).distinct()
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
 def open_pairs(postings: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs that share a prefix n-gram, may be similar enough, and are in different components so far."""
-    placed = postings.join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    placed = materialize(placed, "placed")
+    placed = materialize(_labelled(postings, labels), "placed")
     sizes = placed.groupBy("g", "label").agg(F.count("*").alias("size"))
     main = sizes.groupBy("g").agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-    few = placed.join(main, "g").where(F.col("label") != F.col("main")).alias("a")
-    every = placed.alias("b")
-    able = linked(F.least(F.col("a.m") - F.col("a.place"), F.col("b.m") - F.col("b.place")), F.col("a.n"), F.col("b.n"), num, den)
+    mixed = materialize(placed.join(materialize(main, "main"), "g"), "mixed")
+    a, b = mixed.where("label <> main").alias("a"), mixed.alias("b")
+    able = linked(F.least("a.m", "b.m"), F.col("a.n"), F.col("b.n"), num, den)
     once = (F.col("b.label") == F.col("a.main")) | (F.col("a.fp") < F.col("b.fp"))
-    return few.join(every, "g").where((F.col("a.label") != F.col("b.label")) & able & once).select(*_pair_columns("a", "b")).distinct()
+    met = a.join(b, "g").where((F.col("a.label") != F.col("b.label")) & able & once)
+    # Each common n-gram of a pair gives one row: of both prefixes, as the one with an n-gram has all before it that the other has.
+    first, second = F.col("a.fp") < F.col("b.fp"), F.col("a.fp") >= F.col("b.fp")
+    ends = [F.struct(F.col(f"{s}.fp").alias("fp"), F.col(f"{s}.n").alias("n"), (F.col(f"{s}.m") - F.col(f"{s}.place") - 1).alias("after")) for s in "ab"]
+    rows = met.select(F.when(first, ends[0]).otherwise(ends[1]).alias("x"), F.when(second, ends[0]).otherwise(ends[1]).alias("y"))
+    pairs = rows.groupBy(F.col("x.fp").alias("x"), F.col("y.fp").alias("y"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny")).agg(F.count("*").alias("common"), F.min("x.after").alias("ax"), F.min("y.after").alias("ay"))
+    return pairs.where(linked(F.col("common") + F.least("ax", "ay"), F.col("nx"), F.col("ny"), num, den)).select("x", "y", "nx", "ny")
 
 
-def class_labels(docs: DataFrame, grams: int, k: int, num: int, den: int) -> DataFrame:
+def class_labels(blocks: DataFrame, homes: DataFrame, grams: int, num: int, den: int) -> DataFrame:
     """v, label for each class that is linked with another; grams: the size of all sets."""
     n = max(1, -(-grams // FRAGMENT_GRAMS))
-    sets = materialize(candidates(shared_grams(fragments(docs, k, n), n), num, den), "candidates")
+    dfs = frequencies(sent_grams(blocks, homes, n))
+    sets = materialize(candidates(blocks, homes, dfs, n, num, den), "candidates")
     postings = materialize(sets.select("fp", "n", "m", F.posexplode("prefix").alias("place", "g")), "prefixes")
-    stars = materialize(links(star_pairs(postings, num, den), sets, num, den), "stars")
-    rest = links(open_pairs(postings, components(stars), num, den), sets, num, den)
-    return components(stars.union(materialize(rest, "rest")))
+    edges = materialize(links(star_pairs(postings, num, den), sets, num, den), "stars")
+    for step in (lambda labels: band_pairs(sets, labels, num, den), lambda labels: open_pairs(postings, labels, num, den)):
+        pairs = materialize(step(components(edges)), "pairs")
+        if not pairs.isEmpty():
+            edges = edges.union(materialize(links(pairs, sets, num, den), "links"))
+    return components(edges)
 
 
 def placed_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, fp, root (of the component; null without words), component_id, n_copies for every row of docs."""
     ship(docs.sparkSession)
-    rows = materialize(members(docs, k), "members")
-    grams = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    labels = class_labels(docs, grams, k, num, den)
-    classes = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
-    named = materialize(classes.join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("label", "fp")).select("fp", "root", "least", "n_copies"), "classes")
-    roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(roots, "root").select("fp", "root", "component_id", "n_copies")
+    both = materialize_buckets(hashed(docs, k), "sets", "block")
+    blocks = both.where("fps is not null").select("block", "fps", "sizes", "grams")
+    rows = both.where("fps is null").select("doc_id", "n_shingles", "fp")
+    named = both.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"), F.max("n_shingles").alias("n"), F.min(F.struct("block", "idx")).alias("home"))
+    named = materialize(named.select("fp", "least", "n_copies", "n", F.col("home.block").alias("of_block"), F.col("home.idx").alias("idx")), "classes")
+    grams = named.agg(F.sum("n")).first()[0] or 0
+    labels = class_labels(blocks, named.select("of_block", "idx"), grams, num, den)
+    placed = _labelled(named.select("fp", "least", "n_copies"), labels).withColumnRenamed("label", "root")
+    placed = materialize(placed, "roots")
+    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = placed.join(ids, "root").select("fp", "root", "component_id", "n_copies")
     return rows.join(of, "fp", "left").select("doc_id", "n_shingles", "fp", "root", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
 
