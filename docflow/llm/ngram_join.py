@@ -263,7 +263,7 @@ def components(edges: DataFrame) -> DataFrame:
         closer = labels.join(around, "v").select("v", F.col("label").alias("was"), F.least("label", "near").alias("near"))
         jumped = closer.join(labels.select(F.col("v").alias("near"), F.col("label").alias("far")), "near")
         new = materialize(jumped.select("v", "was", F.least("near", "far").alias("label")), "labels")
-        changed = new.where("label <> was").limit(1).count()
+        changed = not new.where("label <> was").isEmpty()
         labels = new.select("v", "label")
         if not changed:
             return labels
@@ -317,11 +317,15 @@ def class_labels(blocks: DataFrame, homes: DataFrame, grams: int, num: int, den:
     sets = materialize(candidates(blocks, homes, dfs, n, num, den), "candidates")
     postings = materialize(sets.select("fp", "n", "m", F.posexplode("prefix").alias("place", "g")), "prefixes")
     edges = materialize(links(star_pairs(postings, num, den), sets, num, den), "stars")
-    for step in (lambda labels: band_pairs(sets, labels, num, den), lambda labels: open_pairs(postings, labels, num, den)):
-        pairs = materialize(step(components(edges)), "pairs")
+    labels = components(edges)
+    for step in (lambda: band_pairs(sets, labels, num, den), lambda: open_pairs(postings, labels, num, den)):
+        pairs = materialize(step(), "pairs")
         if not pairs.isEmpty():
-            edges = edges.union(materialize(links(pairs, sets, num, den), "links"))
-    return components(edges)
+            more = materialize(links(pairs, sets, num, den), "links")
+            if not more.isEmpty():
+                edges = edges.union(more)
+                labels = components(edges)
+    return labels
 
 
 def placed_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:

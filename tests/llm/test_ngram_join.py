@@ -86,3 +86,38 @@ def test_one_row_of_each_component_with_null_and_shared_ids(spark):
     assert kept([(1, a, ""), (1, b, ""), (2, b, ""), (3, c, "")]) == [(1, a), (1, b), (3, c)]
     assert kept([(1, a, ""), (2, a, ""), (2, b, ""), (2, b.upper(), ""), (4, d, "")])[::2] == [(1, a), (4, d)]
     assert kept([(7, "", ""), (7, "", ""), (7, " ", ""), (7, None, ""), (7, d, ""), (None, None, ""), (None, None, "")]) == sorted([(7, ""), (7, " "), (7, None), (7, d), (None, None)], key=str)
+
+
+def form_letters(n):
+    """Letters with three filled fields of twelve values."""
+    rng = random.Random(5)
+    texts = {}
+    for i in range(n):
+        words = [f"b{j}" for j in range(120)]
+        for f in range(3):
+            v = rng.randrange(12)
+            words[20 + f * 40 : 23 + f * 40] = [f"n{f}_{v}_{j}" for j in range(3)]
+        texts[i] = " ".join(words)
+    return texts
+
+
+def test_a_family_of_form_letters_gives_few_pairs(spark, monkeypatch):
+    pairs, classes = [], []
+    links = ngram_join.links
+
+    def counted(found, sets, num, den):
+        pairs.append(found.count())
+        classes.append(sets.count())
+        return links(found, sets, num, den)
+
+    monkeypatch.setattr(ngram_join, "links", counted)
+    totals = []
+    for n in (300, 1200):
+        pairs.clear()
+        texts = form_letters(n)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+        if n == 300:
+            assert got == brute(texts, 4, 85, 100)
+        totals.append((classes[-1], sum(pairs)))
+    (few, a), (many, b) = totals
+    assert b / a < (many / few) ** 1.3
