@@ -12,8 +12,8 @@ each fragment on their own and summed for each pair.
    compared with the centre that it meets most often. This is one pair for each class, however large a group of near copies is.
    Then again with other centres: the classes with equal MinHash bands of their prefixes, where they are not connected yet.
 5. The rest: pairs that share a prefix n-gram and are not connected yet. In each group only classes outside its largest component
-   are paired, and only if the counts allow the similarity: what two sets share is what their prefixes share, and no more than what
-   follows their last common n-gram. No pair that may be linked is dropped, so no link between components is lost.
+   are paired, and only if the counts allow the similarity: what two sets share comes no earlier in either than their first common
+   n-gram, so it is no more than what follows that. No pair that may be linked is dropped, so no link between components is lost.
 6. Overlaps of the pairs are counted by fragment and summed; components are found by distributed label propagation.
 
 n-grams are compared by 48 bits of their hash: two sets of 300 that differ seem to share one n-gram more with a chance of 3e-10.
@@ -299,15 +299,11 @@ def open_pairs(postings: DataFrame, labels: DataFrame, num: int, den: int) -> Da
     main = sizes.groupBy("g").agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
     mixed = materialize(placed.join(materialize(main, "main"), "g"), "mixed")
     a, b = mixed.where("label <> main").alias("a"), mixed.alias("b")
-    able = linked(F.least("a.m", "b.m"), F.col("a.n"), F.col("b.n"), num, den)
+    # What two sets share comes no earlier in either than their first common n-gram, so it is no more than what begins there.
+    able = linked(F.least(F.col("a.m") - F.col("a.place"), F.col("b.m") - F.col("b.place")), F.col("a.n"), F.col("b.n"), num, den)
     once = (F.col("b.label") == F.col("a.main")) | (F.col("a.fp") < F.col("b.fp"))
     met = a.join(b, "g").where((F.col("a.label") != F.col("b.label")) & able & once)
-    # Each common n-gram of a pair gives one row: of both prefixes, as the one with an n-gram has all before it that the other has.
-    first, second = F.col("a.fp") < F.col("b.fp"), F.col("a.fp") >= F.col("b.fp")
-    ends = [F.struct(F.col(f"{s}.fp").alias("fp"), F.col(f"{s}.n").alias("n"), (F.col(f"{s}.m") - F.col(f"{s}.place") - 1).alias("after")) for s in "ab"]
-    rows = met.select(F.when(first, ends[0]).otherwise(ends[1]).alias("x"), F.when(second, ends[0]).otherwise(ends[1]).alias("y"))
-    pairs = rows.groupBy(F.col("x.fp").alias("x"), F.col("y.fp").alias("y"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny")).agg(F.count("*").alias("common"), F.min("x.after").alias("ax"), F.min("y.after").alias("ay"))
-    return pairs.where(linked(F.col("common") + F.least("ax", "ay"), F.col("nx"), F.col("ny"), num, den)).select("x", "y", "nx", "ny")
+    return met.select(F.col("a.fp").alias("x"), F.col("b.fp").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny")).distinct()
 
 
 def class_labels(blocks: DataFrame, homes: DataFrame, grams: int, num: int, den: int) -> DataFrame:
