@@ -1,13 +1,13 @@
-"""Quality classifier: random-indexing word vectors pooled for each document, a two-layer numpy network, and probabilities
-calibrated by a temperature.
+"""Quality classifier: random-indexing vectors of words and signs pooled for each document, a two-layer numpy network on the pooled
+vector alone, and probabilities calibrated by a temperature.
 
-The model is fitted on the driver from a bounded sample of labelled texts (`sample_rows`, and `sample_chars` of each text for the
-word vectors and the fit alone); scoring reads every whole text where it lies, without a shuffle. Labels, doc_id, lang and source
-are never inputs of a score: doc_id only selects the rows that may be learnt from.
+A text is read as a sequence of tokens: each word, followed by signs of what the word alone does not show: its shape (case, digits),
+the kind of sign at its end, that it repeats the word before, that its line occurred before. Words are hashed into a fixed number of
+rows; signs have rows of their own. All get an index vector and the vector of their contexts alike.
 
-Words are hashed into a fixed number of rows, so the word vectors have the same size for any corpus. Besides the words there are
-marks for what words cannot show: the shape of a word (case, digits, kinds of signs at its end), a word that repeats the one before,
-and a word on a line that occurred before.
+The model is fitted on the driver from the tokens of a bounded number of labelled rows (`sample_rows`), each read whole on the
+executors; scoring reads every whole text where it lies, without a shuffle. Labels, doc_id, lang and source are never inputs of a
+score: doc_id only selects the rows that may be learnt from.
 
 Defined results: a null text is an empty one; an empty text has the pooled vector 0 and the score that the network gives it;
 repeated rows are scored each; a label row without a document, with a null label or a null doc_id is not learnt from; without
@@ -31,15 +31,14 @@ ROWS = 1 << 14
 DIM = 96
 HIDDEN = 32
 SEED = 11
-#: Labelled documents that the model is fitted on, at most, and characters of each of them.
+#: Labelled documents that the model is fitted on, at most.
 SAMPLE_ROWS = 4000
-SAMPLE_CHARS = 20_000
 THRESHOLD = 0.3
 #: Remainder of the rows that are never learnt from, and of those that only calibrate.
 HELD_OUT, CALIBRATE = 0, 1
 
-MARKS = ["lower", "Title", "UPPER", "MiXed", "digits", "mixed digits", "signs only", "repeats", "repeated line", "end .", "end ,", "end !?", "end symbol", "end other"]
-_MARK = {m: i for i, m in enumerate(MARKS)}
+SIGNS = ["lower", "Title", "UPPER", "MiXed", "digits", "mixed digits", "signs only", "repeats", "repeated line", "end .", "end ,", "end !?", "end symbol", "end other"]
+_SIGN = {m: ROWS + i for i, m in enumerate(SIGNS)}
 _END = {".": "end .", ",": "end ,", "!": "end !?", "?": "end !?"} | dict.fromkeys("#*$%&|<>~^=_+@\\/", "end symbol")
 
 
@@ -48,11 +47,11 @@ def fold(doc_id: Column) -> Column:
 
 
 def describe(chunk: str) -> tuple[int, int, int]:
-    """Row of the word, its shape, its end (-1: none) for a string between white space."""
+    """Tokens of a string between white space: the word, its shape, its end (-1: none)."""
     core = chunk.rstrip("".join(_END) + ";:)]}'\"-…»”").lstrip("([{'\"«“")
-    end = -1 if chunk[-1] == core[-1:] else _MARK[_END.get(chunk[-1], "end other")]
+    end = -1 if chunk[-1] == core[-1:] else _SIGN[_END.get(chunk[-1], "end other")]
     if not core:
-        return -1, _MARK["signs only"], end
+        return -1, _SIGN["signs only"], end
     if core.isdigit():
         shape = "digits"
     elif any(c.isdigit() for c in core):
@@ -65,35 +64,33 @@ def describe(chunk: str) -> tuple[int, int, int]:
         shape = "Title"
     else:
         shape = "MiXed"
-    return zlib.crc32(core.lower().encode()) % ROWS, _MARK[shape], end
+    return zlib.crc32(core.lower().encode()) % ROWS, _SIGN[shape], end
 
 
 class Reader:
-    """Turns texts into rows of the word vectors and counts of marks."""
+    """Turns texts into tokens."""
 
     def __init__(self):
         self.of = Cache(describe)
 
-    def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the words in order (-1: signs only), and the count of each mark."""
-        marks = np.zeros(len(MARKS))
+    def read(self, text: str) -> np.ndarray:
+        """A row for each string between white space: the tokens of word, shape, end, repeated word, repeated line (-1: none)."""
         chunks = text.split()
+        out = np.full((len(chunks), 5), -1, np.int16)
         if not chunks:
-            return np.zeros(0, np.int64), marks
-        of = self.of
-        found = np.array(list(map(of.__getitem__, chunks)), np.int64)
-        marks += np.bincount(found[:, 1], minlength=len(MARKS))
-        marks += np.bincount(found[found[:, 2] >= 0, 2], minlength=len(MARKS))
-        rows = found[:, 0]
-        marks[_MARK["repeats"]] = np.count_nonzero((rows[1:] == rows[:-1]) & (rows[1:] >= 0))
+            return out
+        out[:, :3] = list(map(self.of.__getitem__, chunks))
+        words = out[:, 0]
+        out[1:, 3][(words[1:] == words[:-1]) & (words[1:] >= 0)] = _SIGN["repeats"]
         lines = text.split("\n")
         if len(lines) > len(set(lines)):
             seen: set[str] = set()
+            again = []
             for line in lines:
-                if line in seen:
-                    marks[_MARK["repeated line"]] += len(line.split())
+                again.append(line in seen)
                 seen.add(line)
-        return rows, marks
+            out[np.repeat(again, [len(line.split()) for line in lines]), 4] = _SIGN["repeated line"]
+        return out
 
 
 def index_vectors(n: int, dim: int, seed: int) -> np.ndarray:
@@ -106,11 +103,11 @@ def index_vectors(n: int, dim: int, seed: int) -> np.ndarray:
 
 
 def word_vectors(sequences: list[np.ndarray], dim: int = DIM, reach: int = 2, seed: int = SEED) -> np.ndarray:
-    """Random indexing: a word's vector is the sum of the index vectors of its neighbours, and of its own, at unit length."""
-    index = index_vectors(ROWS, dim, seed)
-    total = np.zeros((ROWS, dim), np.float32)
+    """Random indexing: a token's vector is the sum of the index vectors of its neighbours, and of its own, at unit length."""
+    index = index_vectors(ROWS + len(SIGNS), dim, seed)
+    total = np.zeros_like(index)
     for rows in sequences:
-        rows = rows[rows >= 0]
+        rows = rows[rows >= 0].reshape(-1)
         if not len(rows):
             continue
         around = np.zeros((len(rows), dim), np.float32)
@@ -192,47 +189,56 @@ def calibrate(net: Network, x: np.ndarray, y: np.ndarray) -> None:
 class Model:
     def __init__(self, vectors: np.ndarray | None, net: Network | None, share: float):
         self.vectors, self.net, self.share = vectors, net, share
-        self.marks = np.eye(len(MARKS))
 
     @classmethod
-    def fit(cls, texts: list[str], labels: np.ndarray, calibration: np.ndarray) -> Model:
+    def fit(cls, tokens: list[np.ndarray], labels: np.ndarray, calibration: np.ndarray) -> Model:
         if not len(labels) or labels.min() == labels.max():
             return cls(None, None, float(labels.mean()) if len(labels) else 0.5)
-        reader = Reader()
-        read = [reader.read(t) for t in texts]
         fitted = np.flatnonzero(~calibration)
         if not len(fitted) or labels[fitted].min() == labels[fitted].max():
             fitted = np.arange(len(labels))
-        model = cls(word_vectors([read[i][0] for i in fitted]), None, float(labels.mean()))
-        x = np.array([model.pool(*r) for r in read])
+        model = cls(word_vectors([tokens[i] for i in fitted]), None, float(labels.mean()))
+        x = np.array([model.pool(t) for t in tokens])
         model.net = train(x[fitted], labels[fitted])
         calibrate(model.net, x[calibration], labels[calibration])
         return model
 
-    def pool(self, rows: np.ndarray, marks: np.ndarray) -> np.ndarray:
-        """The mean of the vectors of a document's words, and of its marks."""
-        n = max(len(rows), 1)
-        words = rows[rows >= 0]
-        mean = self.vectors[words].sum(0, dtype=np.float64) / n if len(words) else np.zeros(self.vectors.shape[1])
-        return np.concatenate([mean, marks / n @ self.marks])
+    def pool(self, tokens: np.ndarray) -> np.ndarray:
+        """The sum of the vectors of a document's tokens by the number of its strings between white space."""
+        words, signs = tokens[:, 0], tokens[:, 1:]
+        counts = np.bincount(signs[signs >= 0] - ROWS, minlength=len(SIGNS))
+        total = self.vectors[words[words >= 0]].sum(0, dtype=np.float64) + counts @ self.vectors[ROWS:]
+        return total / max(len(tokens), 1)
 
     def scores(self, texts: list[str], reader: Reader) -> np.ndarray:
         if self.net is None:
             return np.full(len(texts), self.share)
         if not texts:
             return np.zeros(0)
-        return self.net.probabilities(np.array([self.pool(*reader.read(t)) for t in texts]))
+        return self.net.probabilities(np.array([self.pool(reader.read(t)) for t in texts]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """A model of at most sample_rows labelled documents outside the held-out fold, taken in the order of a hash of their id."""
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """A model of at most sample_rows labelled documents outside the held-out fold, taken in the order of a hash of their id.
+
+    The texts are read where they lie; the driver gets their tokens.
+    """
+    ship(docs.sparkSession)
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
-    once = usable.groupBy("doc_id").agg(F.max("quality").alias("label"))
+    once = usable.groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
     chosen = once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    text = F.substring(F.coalesce("text", F.lit("")), 1, sample_chars).alias("sample_text")
-    found = docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "sample_text", fold(F.col("doc_id")).alias("fold"))
-    rows = sorted(found.orderBy(F.xxhash64("doc_id"), "doc_id", "sample_text").limit(sample_rows).collect())
-    return Model.fit([r.sample_text for r in rows], np.array([r.label for r in rows], np.float64), np.array([r.fold == CALIBRATE for r in rows], bool))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("sample_text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", fold(F.col("doc_id")).alias("fold"), "sample_text")
+
+    def run(batches):
+        for b in batches:
+            tokens = [pa.compress(reader().read(t).tobytes(), "zstd", asbytes=True) for t in b.column(3).to_pylist()]
+            size = [10 * len(t.split()) for t in b.column(3).to_pylist()]
+            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(size, pa.int64()), pa.array(tokens, pa.binary())], ["doc_id", "label", "fold", "size", "tokens"])
+
+    read = found.mapInArrow(run, "doc_id long, label int, fold long, size long, tokens binary")
+    rows = sorted(read.orderBy(F.xxhash64("doc_id"), "doc_id", "tokens").limit(sample_rows).collect())
+    tokens = [np.frombuffer(pa.decompress(bytes(r.tokens), r.size, "zstd", asbytes=True), np.int16).reshape(-1, 5) for r in rows]
+    return Model.fit(tokens, np.array([r.label for r in rows], np.float64), np.array([r.fold == CALIBRATE for r in rows], bool))
 
 
 _reader: list[Reader] = []
