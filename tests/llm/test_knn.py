@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from docflow.llm import knn, queries
@@ -37,6 +38,30 @@ def test_clusters_are_pruned_and_whole(spark):
     assert sorted(map(tuple, got.collect())) == brute(rows, 5, lambda i: i % 10 == 0)
 
 
+def test_bounds_exclude_most_products_at_the_defaults(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 8)) * 10
+    rows = [(i, [float(c) for c in centres[i * 7 % 40] + rng.normal(size=8) * 0.1]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    made = knn.plan(df, F.col("vec_id") % 100 == 0, 10, 1024, None, knn.GROUP_QUERIES)
+    assert len(made.grouping.cells) > 1 and made.routed_share < 0.5
+    assert sorted(map(tuple, knn.search(df, F.col("vec_id") % 100 == 0).collect())) == brute(rows, 10, lambda i: i % 100 == 0)
+
+
+def test_a_group_of_many_queries_is_cut(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(c) for c in rng.normal(size=4)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, knn.search(df, F.col("vec_id") % 2 == 0, 3, n_pivots=2, group_queries=16, block_rows=64).collect())) == brute(rows, 3, lambda i: i % 2 == 0)
+
+
+@pytest.mark.parametrize("x", [1e18, 4e9])
+def test_scores_beyond_64_bits_are_an_error(spark, x):
+    df = spark.createDataFrame([(0, [x]), (1, [x])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="Overflow|too large"):
+        knn.search(df, F.col("vec_id") % 100 == 0).collect()
+
+
 def test_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (1, [2.0, 1.0]), (100, [1e6, -1e9])], "vec_id long, embedding array<double>")
     want = brute([(r.vec_id, r.embedding) for r in df.collect()], 10, lambda i: i % 100 == 0)
