@@ -6,11 +6,14 @@ of m shingles lies whole inside one of them: their Jaccard similarity is m / 1.5
 threshold of 0.8 of the shingles. With 32 bands of one MinHash, such a window shares a band with a probability of
 1 - (1 - 0.25)^32 = 0.9999.
 
-A text without any shingle of a template has no window that shares a band, so its bands are not computed.
+The bands alone retrieve. A text without any shingle of a template has no window that shares a band, so `gate` skips its bands; it
+saves time and changes no result (tests run without it too). A template of under 5 words has one shingle, of all its words; a set of
+one shingle is its own MinHash, so all bands of it are one, the shingle itself.
 
 Templates are a bounded parameter and go to every task; documents are never shuffled. Defined results: a null or empty text, or one
-with no match, gives no row; each document and template gives one row, of its best window; repeated rows give a row each; other
-columns are ignored.
+with no match, gives no row; each document and template gives one row, of the window with the greatest containment, then the
+earliest; repeated rows give a row each; a template without words is never found; other columns are ignored. A text of any length is
+scanned whole in its task, in memory in proportion to it.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 BANDS = 32
 MAX_TEMPLATES = 10_000
+#: Shingles of windows whose bands are computed at once, about.
+CHUNK = 100_000
 
 # Short notices by which works state their license; the full texts are in license_texts.
 TEMPLATES = {
@@ -102,17 +107,21 @@ def words_of(text: str) -> list[str]:
 class Scanner:
     """The templates by classes of length, with their bands."""
 
-    def __init__(self, templates: dict[str, str], shingle: int = SHINGLE, containment: float = CONTAINMENT, bands: int = BANDS):
+    def __init__(self, templates: dict[str, str], shingle: int = SHINGLE, containment: float = CONTAINMENT, bands: int = BANDS, gate: bool = True):
         if len(templates) > MAX_TEMPLATES:
             raise ValueError(f"more than {MAX_TEMPLATES} templates")
-        self.k, self.least, self.bands = shingle, containment, bands
+        self.k, self.least, self.bands, self.gate = shingle, containment, bands, gate
         rng = np.random.default_rng(7)
         self.factors = rng.integers(1, 1 << 63, bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.hash = Cache(lambda w: xxhash.xxh64_intdigest(w.encode()))
         self.classes: dict[int, dict] = {}
+        self.short: dict[int, dict[int, list[str]]] = {}
         for name, text in sorted(templates.items()):
-            found = np.unique(shingles(self.hashes(words_of(text)), shingle))
-            if len(found):
+            words = words_of(text)
+            found = np.unique(shingles(self.hashes(words), shingle))
+            if 0 < len(words) < shingle:
+                self.short.setdefault(len(words), {}).setdefault(int(found[0]), []).append(name)
+            elif len(found):
                 group = self.classes.setdefault(max(1, 1 << (len(found) - 1).bit_length()), {"names": [], "sets": []})
                 group["names"].append(name)
                 group["sets"].append(found)
@@ -120,6 +129,7 @@ class Scanner:
         for group in self.classes.values():
             keys = [[self.minhash(s, f) for s in group["sets"]] for f in self.factors]
             group["keys"] = np.array(keys, np.uint64)
+            group["every"] = np.unique(group["keys"])
             group["owners"] = [{k: [t for t, x in enumerate(row) if x == k] for k in row} for row in keys]
 
     def hashes(self, words: list[str]) -> np.ndarray:
@@ -130,34 +140,48 @@ class Scanner:
     def minhash(found: np.ndarray, factor: np.uint64) -> int:
         return int(((found * factor) ^ (found * factor >> np.uint64(29))).min())
 
-    def holds_any(self, found: np.ndarray) -> bool:
-        """Whether a template has one of these shingles; self.every is sorted."""
+    def held(self, found: np.ndarray) -> np.ndarray:
+        """Which of these shingles a template has; self.every is sorted."""
         if not len(self.every):
-            return False
+            return np.zeros(len(found), bool)
         at = np.minimum(np.searchsorted(self.every, found), len(self.every) - 1)
-        return bool((self.every[at] == found).any())
+        return self.every[at] == found
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(template, containment, first word, end word) of the best window of each template found."""
         hashes = self.hashes(words_of(text or ""))
         found = shingles(hashes, self.k)
         n, best = len(found), {}
-        if not n or not self.holds_any(found):
-            return []  # no window of it can share a band with a template
+        for size, names in self.short.items():
+            runs = shingles(hashes, size) if len(hashes) >= size else hashes[:0]
+            for at in np.flatnonzero(np.isin(runs, np.array(list(names), np.uint64)))[::-1].tolist():
+                best |= {name: (1.0, -at, at + size) for name in names[int(runs[at])]}
+        held = self.held(found) if self.gate else np.ones(n, bool)
+        if held.any():
+            self.scan_windows(hashes, found, held, best)
+        return [(name, share, -first, end) for name, (share, first, end) in sorted(best.items())]
+
+    def scan_windows(self, hashes: np.ndarray, found: np.ndarray, held: np.ndarray, best: dict[str, tuple[float, int, int]]) -> None:
+        """Put the best windows of the templates that are found by bands into best; windows without a held shingle share no band."""
+        n = len(found)
+        upto = np.concatenate([[0], np.cumsum(held)])
         candidates: set[tuple[int, int, int]] = set()
-        blocks = {width: np.arange(0, n, max(1, width // 2)) for width in self.classes}
-        for i, factor in enumerate(self.factors):
-            values = found * factor
-            values ^= values >> np.uint64(29)
-            for width, group in self.classes.items():
-                least = np.minimum.reduceat(values, blocks[width]) if width > 2 else values
-                if len(least) > 2:
-                    least = np.minimum(np.minimum(least[:-2], least[1:-1]), least[2:])  # 3 blocks
-                else:
-                    least = least.min(keepdims=True)
-                owners = group["owners"][i]
-                for w in np.flatnonzero(np.isin(least, group["keys"][i])).tolist():
-                    candidates.update((width, t, w) for t in owners[int(least[w])])
+        for width, group in self.classes.items():
+            step = max(1, width // 2)
+            begin = np.arange(0, max(1, -(-n // step) - 2)) * step
+            end = np.minimum(begin + 3 * step, n)
+            windows = np.flatnonzero(upto[end] > upto[begin])
+            if not len(windows):
+                continue
+            for some in np.array_split(windows, -(-len(windows) * 3 * step // CHUNK)):
+                sizes = end[some] - begin[some]
+                starts = np.cumsum(sizes) - sizes
+                inside = found[np.arange(sizes.sum()) - np.repeat(starts - begin[some], sizes)]
+                values = self.factors[:, None] * inside
+                values ^= values >> np.uint64(29)
+                least = np.minimum.reduceat(values, starts, axis=1)
+                for i, w in zip(*np.nonzero(np.isin(least, group["every"])), strict=True):
+                    candidates.update((width, t, int(some[w])) for t in group["owners"][i].get(int(least[i, w]), ()))
         for width, t, w in candidates:
             group, step = self.classes[width], max(1, width // 2)
             template = group["sets"][t]
@@ -167,9 +191,8 @@ class Scanner:
             if share >= self.least:
                 at = a + np.flatnonzero(inside)
                 hit = (share, -int(at[0]), int(at[-1]) + min(self.k, len(hashes)))
-                if hit > best.get(group["names"][t], (0, 0, 0)):
+                if hit > best.get(group["names"][t], (0.0, 0, 0)):
                     best[group["names"][t]] = hit
-        return [(name, share, -first, end) for name, (share, first, end) in sorted(best.items())]
 
 
 def scan_documents(docs: DataFrame, templates: dict[str, str] = TEMPLATES, shingle: int = SHINGLE, containment: float = CONTAINMENT, bands: int = BANDS) -> DataFrame:

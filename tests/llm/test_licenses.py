@@ -56,3 +56,22 @@ def test_common_licenses_are_found():
     assert found("This work is licensed under a Creative Commons Attribution 4.0 International License.") == {"CC-BY-4.0-notice"}
     for name in ("GPL-2.0-text", "LGPL-2.1-text", "MPL-2.0-text", "BSD-disclaimer", "ISC-notice", "AGPL-3.0-notice", "MIT-warranty", "Unlicense-notice"):
         assert name in found(licenses.TEMPLATES[name])
+
+
+def test_short_templates_are_found():
+    scanner = licenses.Scanner({"two": "MIT License", "one": "GPL", "none": "...", "long": "released under the terms of this license"})
+    assert scanner.scan("The MIT License applies. The MIT license.") == [("two", 1.0, 1, 3)]
+    assert scanner.scan("gpl") == [("one", 1.0, 0, 1)] and scanner.scan("") == [] and scanner.scan(None) == []
+
+
+def test_bands_alone_find_what_is_there(spark):
+    """Without the gate that skips texts: the same rows, and the bands' recall of all that is contained to 0.8."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + list(licenses.TEMPLATES.values())
+    words = licenses.TEMPLATES["GPL-3.0-notice"].split()
+    texts += [" ".join(words[i:] + ["filler"] * i) for i in range(8)]
+    gated, bare = licenses.Scanner(licenses.TEMPLATES), licenses.Scanner(licenses.TEMPLATES, gate=False)
+    got = [bare.scan(t) for t in texts]
+    assert got == [gated.scan(t) for t in texts]
+    want = {(i, name) for i, t in enumerate(texts) for name, share in brute(t).items() if share >= 0.8}
+    found = {(i, name) for i, rows in enumerate(got) for name, *_ in rows}
+    assert found <= want and len(found) >= 0.999 * len(want) and len(want) > 40
