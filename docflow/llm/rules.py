@@ -23,6 +23,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
 #: Documents of the sample from which costs and selectivities are estimated.
 SAMPLE_ROWS = 1000
+SEED = 11
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -55,7 +56,7 @@ def repeat_words(words: Column) -> Column:
     """Words inside 3-word windows that are found twice or more.
 
     A window is a 64-bit hash whose low bits give way to its position, so that one sort of longs brings equal windows together;
-    neighbours with equal high bits are then compared word by word.
+    neighbours with equal high bits are then compared word by word, and only where these differ with all that have these bits.
     """
 
     def windows(w: Column, bits: Column) -> Column:
@@ -71,7 +72,10 @@ def repeat_words(words: Column) -> Column:
             return F.when(high(x) == high(y), same(at(x), at(y))).otherwise(False)
 
         def twice(x: Column, i: Column) -> Column:
-            return F.when(i > 0, equal(x, F.get(ordered, i - 1))).otherwise(False) | F.when(i < F.size(ordered) - 1, equal(x, F.get(ordered, i + 1))).otherwise(False)
+            before, after = F.get(ordered, i - 1), F.get(ordered, i + 1)
+            near = F.coalesce(equal(x, before), F.lit(False)) | F.coalesce(equal(x, after), F.lit(False))
+            other = F.coalesce(high(x) == high(before), F.lit(False)) | F.coalesce(high(x) == high(after), F.lit(False))
+            return F.when(near, True).when(other, F.exists(ordered, lambda y: (y != x) & equal(x, y))).otherwise(False)
 
         return F.transform(F.filter(ordered, twice), at)
 
@@ -88,40 +92,45 @@ def repeat_words(words: Column) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """rejects(text) is true for a text that goes; text is never null."""
+    """rejects(document) is true for a document that goes; it has the fields text, never null, and words."""
 
     name: str
     rejects: Callable[[Column], Column]
 
 
-def few_words(text: Column) -> Column:
-    return F.size(words_of(text)) < 50
+def document(text: Column) -> Column:
+    """What rules judge: the words are split once for all of them."""
+    return F.struct(text.alias("text"), words_of(text).alias("words"))
 
 
-def repeated_windows(text: Column) -> Column:
-    return let(words_of(text), lambda w: 100 * repeat_words(w) > 50 * F.size(w))
+def few_words(d: Column) -> Column:
+    return F.size(d["words"]) < 50
 
 
-def many_symbols(text: Column) -> Column:
-    return 10 * n_symbols(text) > F.size(words_of(text))
+def repeated_windows(d: Column) -> Column:
+    return let(d["words"], lambda w: 100 * repeat_words(w) > 50 * F.size(w))
 
 
-def shouting(text: Column) -> Column:
+def many_symbols(d: Column) -> Column:
+    return 10 * n_symbols(d["text"]) > F.size(d["words"])
+
+
+def shouting(d: Column) -> Column:
     """Over half of the characters of words are upper-case letters."""
-    return 2 * F.length(F.regexp_replace(text, r"\P{Lu}+", "")) > word_chars(text)
+    return 2 * F.length(F.regexp_replace(d["text"], r"\P{Lu}+", "")) > word_chars(d["text"])
 
 
-def exclaiming(text: Column) -> Column:
-    return 2 * F.length(F.regexp_replace(text, "[^!]+", "")) > F.size(words_of(text))
+def exclaiming(d: Column) -> Column:
+    return 2 * F.length(F.regexp_replace(d["text"], "[^!]+", "")) > F.size(d["words"])
 
 
-def repeated_lines(text: Column) -> Column:
-    return let(lines_of(text), lambda x: 2 * dup_lines(x) > F.size(x))
+def repeated_lines(d: Column) -> Column:
+    return let(lines_of(d["text"]), lambda x: 2 * dup_lines(x) > F.size(x))
 
 
-def odd_word_length(text: Column) -> Column:
+def odd_word_length(d: Column) -> Column:
     """Words of under 2 or over 15 characters on average."""
-    return let(F.struct(word_chars(text).alias("chars"), F.size(words_of(text)).alias("n")), lambda x: (x["chars"] < 2 * x["n"]) | (x["chars"] > 15 * x["n"]))
+    return let(F.struct(word_chars(d["text"]).alias("chars"), F.size(d["words"]).alias("n")), lambda x: (x["chars"] < 2 * x["n"]) | (x["chars"] > 15 * x["n"]))
 
 
 BASE_RULES = (Rule("few_words", few_words), Rule("repeated_windows", repeated_windows))
@@ -131,9 +140,12 @@ RULES = (Rule("many_symbols", many_symbols), Rule("shouting", shouting), Rule("e
 def order_by_rejections(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """(rule, seconds, share rejected) in the order of rejections per second, from a sample of sample_rows documents at most.
 
-    The order changes no verdict, only the work: a document is rejected if any rule rejects it.
+    Every document has the same chance to be in the sample, whatever its partition, and the sample is as large for any table. The
+    order changes no verdict, only the work: a document is rejected if any rule rejects it.
     """
-    sample = materialize(docs.select(F.coalesce("text", F.lit("")).alias("text")).limit(sample_rows), "rules-sample")
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    chosen = docs.select(F.coalesce("text", F.lit("")).alias("text")).sample(share, SEED).limit(sample_rows)
+    sample = materialize(chosen, "rules-sample")
 
     def timed(rejects: Column) -> tuple[float, int]:
         began = time.perf_counter()
@@ -144,17 +156,21 @@ def order_by_rejections(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: i
     idle = min(timed(F.length("text") < 0)[0] for _ in range(2))
     found = []
     for rule in rules:
-        seconds, share = timed(rule.rejects(F.col("text")))
+        seconds, share = timed(let(document(F.col("text")), rule.rejects))
         found.append((rule, max(seconds - idle, 1e-3), share))
     return sorted(found, key=lambda x: -x[2] / x[1] if not math.isnan(x[2]) else 0)
 
 
 def cascade(text: Column, rules: list[Rule]) -> Column:
     """True if no rule rejects the text; a rule is computed only for texts that those before it let pass."""
-    verdict = F.lit(True)
-    for rule in reversed(rules):
-        verdict = F.when(rule.rejects(text), F.lit(False)).otherwise(verdict)
-    return verdict
+
+    def verdict(d: Column) -> Column:
+        out = F.lit(True)
+        for rule in reversed(rules):
+            out = F.when(rule.rejects(d), F.lit(False)).otherwise(out)
+        return out
+
+    return let(document(text), verdict)
 
 
 def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
