@@ -34,16 +34,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docflow.llm.hashing import Cache, mix, pack, shingles, unpack
-from docflow.session import materialize, materialize_buckets, ship
+from docflow.session import bucket_count, materialize, materialize_buckets, scratch, ship
 
 #: Entries of n-grams in one fragment, about.
 FRAGMENT_GRAMS = 2_000_000
 #: Occurrences in one block of documents (more only where one text has more).
 BLOCK_GRAMS = 1_000_000
+#: Bits of a class's number in its block: each class has an n-gram at least.
+IDX_BITS = 20
 #: Bits of a hash that are sent and compared.
 BITS = 48
 #: Fragments in which the overlaps of pairs are counted.
 PARTS = 8
+#: doc_ids of dropped rows that are broadcast, at most (8 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 #: MinHash bands of a prefix, and hashes in each.
 BANDS, BAND_ROWS = 8, 3
 
@@ -62,28 +66,28 @@ def fingerprint(grams: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(grams.tobytes())
 
 
-HASHED_SCHEMA = "block long, idx int, doc_id long, n_shingles long, fp binary, fps binary, sizes binary, grams binary"
+HASHED_SCHEMA = "block long, idx int, doc_id long, n_shingles long, fp binary, sizes binary, grams binary"
 
 
 def hashed(docs: DataFrame, k: int) -> DataFrame:
     """One row for each document (block, idx of its class there, doc_id, n_shingles, fp; idx and fp null for an empty set), and one for
-    each block with its classes (fps, sizes, grams)."""
+    each block with its classes (sizes, grams). A class is known by block + idx."""
 
     def table(rows: dict[str, list], n: int) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4)
-        names = ("block", "idx", "doc_id", "n_shingles", "fp", "fps", "sizes", "grams")
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3)
+        names = ("block", "idx", "doc_id", "n_shingles", "fp", "sizes", "grams")
         return pa.record_batch([pa.array(rows.get(c, [None] * n), t) for c, t in zip(names, kinds, strict=True)], list(names))
 
     def whole(block: int, sets: dict[bytes, tuple[int, np.ndarray]]) -> pa.RecordBatch:
         grams = [g >> np.uint64(64 - BITS) for _, g in sets.values()]
         steps = np.concatenate([np.diff(g, prepend=np.uint64(0)) for g in grams])
         sizes = np.array([len(g) for g in grams], np.int64)
-        return table({"block": [block], "fps": [b"".join(sets)], "sizes": [sizes.tobytes()], "grams": [pack(steps)]}, 1)
+        return table({"block": [block], "sizes": [sizes.tobytes()], "grams": [pack(steps)]}, 1)
 
     def run(batches):
         from pyspark import TaskContext
 
-        of, block = word_hashes(), TaskContext.get().partitionId() << 32
+        of, block = word_hashes(), TaskContext.get().partitionId() << 40
         sets, held = {}, 0
         for b in batches:
             for i in range(0, b.num_rows, 256):
@@ -101,7 +105,7 @@ def hashed(docs: DataFrame, k: int) -> DataFrame:
                     rows["idx"].append(sets[key][0] if key else None)
                     if held >= BLOCK_GRAMS:
                         yield whole(block, sets)
-                        sets, held, block = {}, 0, block + 1
+                        sets, held, block = {}, 0, block + (1 << IDX_BITS)
                 yield table(rows, part.num_rows)
         if sets:
             yield whole(block, sets)
@@ -116,16 +120,15 @@ def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def home_sets(block: pa.Table, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(fps, sizes, grams one set after the other) of the classes idx of a block's row."""
+    """(idx, sizes, grams one set after the other) of the classes idx of a block's row."""
     sizes = np.frombuffer(block.column("sizes")[0].as_py(), np.int64)
     total = np.cumsum(unpack(block.column("grams")[0].as_py(), int(sizes.sum())))  # steps in each set: subtract what came before it
     ends = np.cumsum(sizes)
     before = np.concatenate([[np.uint64(0)], total[ends[:-1] - 1]]).astype(np.uint64)
     grams = total - np.repeat(before, sizes)
-    fps = np.frombuffer(block.column("fps")[0].as_py(), np.uint64).reshape(-1, 2)
     home = np.zeros(len(sizes), bool)
     home[idx] = True
-    return fps[home], sizes[home], grams[np.repeat(home, sizes)]
+    return np.flatnonzero(home), sizes[home], grams[np.repeat(home, sizes)]
 
 
 def fragment_starts(grams: np.ndarray, n_fragments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +179,7 @@ def frequencies(sent: DataFrame) -> DataFrame:
     return sent.groupBy("fragment").applyInArrow(count, "of_block long, fragment int, dfs binary")
 
 
-CANDIDATE_SCHEMA = "fp binary, n long, m long, parts array<array<long>>, prefix array<long>, bands array<long>"
+CANDIDATE_SCHEMA = "c long, n long, m long, parts array<array<long>>, prefix array<long>, bands array<long>"
 
 
 def minhash_bands(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -192,14 +195,14 @@ def minhash_bands(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def candidates(blocks: DataFrame, homes: DataFrame, dfs: DataFrame, n_fragments: int, num: int, den: int) -> DataFrame:
-    """Classes that may have a partner: fp, set size n, shared n-grams m, these n-grams by part of the order, the prefix, its bands."""
+    """Classes that may have a partner: number c, set size n, shared n-grams m, these n-grams by part of the order, the prefix, its bands."""
 
     def gather(key, left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table([pa.array([], t) for t in kinds], names=names)
         idx = right.column("idx").drop_null().to_numpy()
         if not left.num_rows or not len(idx):
             return empty
-        fps, n, grams = home_sets(left, idx)
+        own, n, grams = home_sets(left, idx)
         every, inverse = np.unique(grams, return_inverse=True)
         of, begin = fragment_starts(every, n_fragments)
         sizes = dict(zip(of.tolist(), np.diff(np.append(begin, len(every))).tolist(), strict=True))
@@ -212,7 +215,7 @@ def candidates(blocks: DataFrame, homes: DataFrame, dfs: DataFrame, n_fragments:
             return empty
         at = stays[owner] & (df > 1)
         owner, grams, df = (np.cumsum(stays) - 1)[owner[at]], grams[at], df[at]
-        fps, n, m = fps[stays], n[stays], m[stays]
+        own, n, m = own[stays], n[stays], m[stays]
         order = np.lexsort((grams, df, owner))
         place = np.arange(len(grams)) - np.repeat(np.cumsum(m) - m, m)
         size = n + (-num * n) // den + 1 - (n - m)  # n - ceil(num n / den) + 1, less the n-grams of its own; 1 at least
@@ -221,16 +224,16 @@ def candidates(blocks: DataFrame, homes: DataFrame, dfs: DataFrame, n_fragments:
         sizes = np.bincount(owner * PARTS + part, minlength=len(n) * PARTS)
         inner = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(grams.view(np.int64)))
         columns = [
-            pa.array([x.tobytes() for x in fps], pa.binary()), pa.array(n), pa.array(m),
+            pa.array(key[0].as_py() + own), pa.array(n), pa.array(m),
             pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * PARTS + 1, PARTS), pa.int32()), inner),
             pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(prefix.view(np.int64))),
             pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * BANDS + 1, BANDS), pa.int32()), pa.array(minhash_bands(prefix, size).reshape(-1).view(np.int64))),
         ]
         return pa.table(columns, names=names)
 
-    names = ["fp", "n", "m", "parts", "prefix", "bands"]
+    names = ["c", "n", "m", "parts", "prefix", "bands"]
     longs = pa.list_(pa.int64())
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.list_(longs), longs, longs]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(longs), longs, longs]
     back = homes.select("of_block", "idx", F.lit(None).cast("int").alias("fragment"), F.lit(None).cast("binary").alias("dfs"))
     back = back.union(dfs.select("of_block", F.lit(None).cast("int"), "fragment", "dfs"))
     return blocks.groupBy("block").cogroup(back.groupBy("of_block")).applyInArrow(gather, CANDIDATE_SCHEMA)
@@ -242,13 +245,15 @@ def linked(overlap: Column, nx: Column, ny: Column, num: int, den: int) -> Colum
 
 
 def links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (x, y, nx, ny) that are similar enough: overlaps are counted by part and summed."""
-    segments = sets.select("fp", F.posexplode("parts").alias("part", "grams")).where(F.size("grams") > 0)
-    left = pairs.join(segments.withColumnRenamed("fp", "x").withColumnRenamed("grams", "gx"), "x")
-    both = left.join(segments.withColumnRenamed("fp", "y").withColumnRenamed("grams", "gy"), ["y", "part"])
-    partial = both.select("x", "y", "nx", "ny", F.size(F.array_intersect("gx", "gy")).alias("overlap"))
-    total = partial.groupBy("x", "y", "nx", "ny").agg(F.sum("overlap").alias("overlap"))
-    return total.where(linked(F.col("overlap"), F.col("nx"), F.col("ny"), num, den)).select("x", "y")
+    """The pairs (x, y, nx, ny) that are similar enough: overlaps are counted by part and summed.
+
+    x goes to its set, which lies in buckets by class; many pairs may have one y, so the sets of y are a table of their own, by which
+    the second join can be split.
+    """
+    ys = materialize(sets.join(pairs.select(F.col("y").alias("c")).distinct(), "c", "left_semi").select(F.col("c").alias("y"), F.col("parts").alias("py")), "ys")
+    both = pairs.join(sets.select(F.col("c").alias("x"), F.col("parts").alias("px")), "x").join(ys, "y")
+    overlap = F.aggregate(F.zip_with("px", "py", lambda a, b: F.size(F.array_intersect(a, b))), F.lit(0), lambda a, x: a + x)
+    return both.where(linked(overlap, F.col("nx"), F.col("ny"), num, den)).select("x", "y")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -269,53 +274,57 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def star_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
+def postings(sets: DataFrame) -> DataFrame:
+    return sets.select("c", "n", "m", *[x for x in sets.columns if x == "label"], F.posexplode("prefix").alias("place", "g"))
+
+
+def star_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Each class with the centre that it meets most often."""
-    centre = postings.groupBy("g").agg(F.min(F.struct((F.col("n") - F.col("m")).alias("own"), "fp", "n", "m")).alias("c"), F.count("*").alias("size")).where("size > 1")
-    centre = materialize(centre, "centres")  # so that the join is a stage of its own, in which a frequent n-gram can be split
-    met = postings.join(centre, "g").where(F.col("fp") != F.col("c.fp")).where(linked(F.least("m", "c.m"), F.col("n"), F.col("c.n"), num, den))
-    votes = met.groupBy("fp", "n", F.col("c.fp").alias("y"), F.col("c.n").alias("ny")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("fp", "n").agg(F.max(F.struct("votes", "y", "ny")).alias("b"))
-    return best.select(F.col("fp").alias("x"), F.col("b.y").alias("y"), F.col("n").alias("nx"), F.col("b.ny").alias("ny"))
+    rows = postings(sets)
+    centre = rows.groupBy("g").agg(F.min(F.struct((F.col("n") - F.col("m")).alias("own"), "c", "n", "m")).alias("at"), F.count("*").alias("size")).where("size > 1")
+    centre = materialize(centre.select("g", "at"), "centres")  # so that the join is a stage of its own, in which a frequent n-gram can be split
+    met = rows.join(centre, "g").where(F.col("c") != F.col("at.c")).where(linked(F.least("m", "at.m"), F.col("n"), F.col("at.n"), num, den))
+    votes = met.groupBy("c", "n", F.col("at.c").alias("y"), F.col("at.n").alias("ny")).agg(F.count("*").alias("votes"))
+    best = votes.groupBy("c", "n").agg(F.max(F.struct("votes", "y", "ny")).alias("b"))
+    return best.select(F.col("c").alias("x"), F.col("b.y").alias("y"), F.col("n").alias("nx"), F.col("b.ny").alias("ny"))
 
 
 def band_pairs(sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
     """Each class with the centres of its bands, where these are in other components."""
-    placed = _labelled(sets.select("fp", "n", "m", "bands"), labels)
-    keys = materialize(placed.select("fp", "n", "m", "label", F.explode("bands").alias("key")), "bands")
-    centre = keys.groupBy("key").agg(F.min(F.struct("fp", "n", "m", "label")).alias("c"), F.count("*").alias("size")).where("size > 1").drop("size")
-    met = keys.join(materialize(centre, "band-centres"), "key").where((F.col("label") != F.col("c.label")) & linked(F.least("m", "c.m"), F.col("n"), F.col("c.n"), num, den))
-    return met.select(F.col("fp").alias("x"), F.col("c.fp").alias("y"), F.col("n").alias("nx"), F.col("c.n").alias("ny")).distinct()
+    keys = _labelled(sets.select("c", "n", "m", "bands"), labels).select("c", "n", "m", "label", F.explode("bands").alias("key"))
+    centre = keys.groupBy("key").agg(F.min(F.struct("c", "n", "m", "label")).alias("at"), F.count("*").alias("size")).where("size > 1").select("key", "at")
+    met = keys.join(materialize(centre, "band-centres"), "key").where((F.col("label") != F.col("at.label")) & linked(F.least("m", "at.m"), F.col("n"), F.col("at.n"), num, den))
+    return met.select(F.col("c").alias("x"), F.col("at.c").alias("y"), F.col("n").alias("nx"), F.col("at.n").alias("ny")).distinct()
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    return rows.join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    return rows.join(labels.withColumnRenamed("v", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
 
 
-def open_pairs(postings: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+def open_pairs(sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs that share a prefix n-gram, may be similar enough, and are in different components so far."""
-    placed = materialize(_labelled(postings, labels), "placed")
+    placed = postings(_labelled(sets.select("c", "n", "m", "prefix"), labels))
     sizes = placed.groupBy("g", "label").agg(F.count("*").alias("size"))
     main = sizes.groupBy("g").agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
     mixed = materialize(placed.join(materialize(main, "main"), "g"), "mixed")
     a, b = mixed.where("label <> main").alias("a"), mixed.alias("b")
     # What two sets share comes no earlier in either than their first common n-gram, so it is no more than what begins there.
     able = linked(F.least(F.col("a.m") - F.col("a.place"), F.col("b.m") - F.col("b.place")), F.col("a.n"), F.col("b.n"), num, den)
-    once = (F.col("b.label") == F.col("a.main")) | (F.col("a.fp") < F.col("b.fp"))
+    once = (F.col("b.label") == F.col("a.main")) | (F.col("a.c") < F.col("b.c"))
     met = a.join(b, "g").where((F.col("a.label") != F.col("b.label")) & able & once)
-    return met.select(F.col("a.fp").alias("x"), F.col("b.fp").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny")).distinct()
+    return met.select(F.col("b.c").alias("x"), F.col("a.c").alias("y"), F.col("b.n").alias("nx"), F.col("a.n").alias("ny")).distinct()
 
 
 def class_labels(blocks: DataFrame, homes: DataFrame, grams: int, num: int, den: int) -> DataFrame:
     """v, label for each class that is linked with another; grams: the size of all sets."""
     n = max(1, -(-grams // FRAGMENT_GRAMS))
     dfs = frequencies(sent_grams(blocks, homes, n))
-    sets = materialize(candidates(blocks, homes, dfs, n, num, den), "candidates")
-    postings = materialize(sets.select("fp", "n", "m", F.posexplode("prefix").alias("place", "g")), "prefixes")
-    edges = materialize(links(star_pairs(postings, num, den), sets, num, den), "stars")
+    sets = candidates(blocks, homes, dfs, n, num, den)
+    sets = materialize_buckets(sets.repartition(bucket_count(sets.sparkSession), "c"), "candidates", "c")
+    edges = materialize(links(materialize(star_pairs(sets, num, den), "pairs"), sets, num, den), "stars")
     labels = components(edges)
-    for step in (lambda: band_pairs(sets, labels, num, den), lambda: open_pairs(postings, labels, num, den)):
-        pairs = materialize(step(), "pairs")
+    for step in (band_pairs, open_pairs):
+        pairs = materialize(step(sets, labels, num, den), "pairs")
         if not pairs.isEmpty():
             more = materialize(links(pairs, sets, num, den), "links")
             if not more.isEmpty():
@@ -326,16 +335,19 @@ def class_labels(blocks: DataFrame, homes: DataFrame, grams: int, num: int, den:
 
 def placed_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, fp, root (of the component; null without words), component_id, n_copies for every row of docs."""
-    ship(docs.sparkSession)
-    both = materialize_buckets(hashed(docs, k), "sets", "block")
-    blocks = both.where("fps is not null").select("block", "fps", "sizes", "grams")
-    rows = both.where("fps is null").select("doc_id", "n_shingles", "fp")
-    named = both.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"), F.max("n_shingles").alias("n"), F.min(F.struct("block", "idx")).alias("home"))
-    named = materialize(named.select("fp", "least", "n_copies", "n", F.col("home.block").alias("of_block"), F.col("home.idx").alias("idx")), "classes")
-    grams = named.agg(F.sum("n")).first()[0] or 0
-    labels = class_labels(blocks, named.select("of_block", "idx"), grams, num, den)
-    placed = _labelled(named.select("fp", "least", "n_copies"), labels).withColumnRenamed("label", "root")
-    placed = materialize(placed, "roots")
+    spark = docs.sparkSession
+    ship(spark)
+    with scratch(spark):
+        both = materialize_buckets(hashed(docs, k), "sets", "block")
+        blocks = both.where("sizes is not null").select("block", "sizes", "grams")
+        members = both.where("sizes is null")
+        rows = materialize(members.select("doc_id", "n_shingles", "fp"), "members", keep=True)
+        named = members.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"), F.max("n_shingles").alias("n"), F.min(F.struct("block", "idx")).alias("home"))
+        named = materialize(named.select("fp", "least", "n_copies", "n", (F.col("home.block") + F.col("home.idx")).alias("c"), F.col("home.block").alias("of_block"), F.col("home.idx").alias("idx")), "classes")
+        grams = named.agg(F.sum("n")).first()[0] or 0
+        labels = class_labels(blocks, named.select("of_block", "idx"), grams, num, den)
+        placed = _labelled(named.select("c", "fp", "least", "n_copies"), labels).withColumnRenamed("label", "root")
+        placed = materialize(placed, "roots", keep=True)
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of = placed.join(ids, "root").select("fp", "root", "component_id", "n_copies")
     return rows.join(of, "fp", "left").select("doc_id", "n_shingles", "fp", "root", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
@@ -365,21 +377,26 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     A row is known by its doc_id and its set's fingerprint; texts are hashed again only where ids are null or shared. Rows without
     words all stay, but one of those that repeat doc_id and text.
     """
-    found = materialize(placed_rows(docs, k, num, den).select("doc_id", "fp", "root"), "components")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first")
-    heads = found.where("root is not null").groupBy("root").agg(first).select("first.doc_id", "first.fp")
-    heads = heads.union(found.where("root is null").select("doc_id", "fp").distinct()).toDF("head", "head_fp")
-    ids = found.groupBy("doc_id").agg((F.col("doc_id").isNull() | (F.count("*") > 1)).alias("shared"))
-    heads = materialize(heads.join(ids, F.col("head").eqNullSafe(F.col("doc_id"))).select("head", "head_fp", "shared"), "heads")
-    same = docs["doc_id"].eqNullSafe(heads["head"])
-    kept = docs.join(heads.where("not shared"), same, "left_semi")
-    again = heads.where("shared")
-    if again.limit(1).count():
+    with scratch(docs.sparkSession):
+        found = materialize(placed_rows(docs, k, num, den).select("doc_id", "fp", "root"), "components")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first")
+        heads = found.where("root is not null").groupBy("root").agg(first).select("first.doc_id", "first.fp")
+        heads = heads.union(found.where("root is null").select("doc_id", "fp").distinct()).toDF("head", "head_fp").withColumn("is_head", F.lit(True))
+        ids = found.groupBy("doc_id").agg((F.col("doc_id").isNull() | (F.count("*") > 1)).alias("shared"))
+        of = ids.join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left")
+        heads = materialize(of.select("doc_id", "shared", F.col("head_fp"), F.col("is_head").isNotNull().alias("is_head")), "heads", keep=True)
+    gone = heads.where("doc_id is not null and (shared or not is_head)").select("doc_id").distinct()
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    kept = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = heads.where("shared and is_head").select(F.col("doc_id").alias("head"), "head_fp")
+    same = docs["doc_id"].eqNullSafe(again["head"])
+    if not again.isEmpty():
         fp = "fp"
         while fp in docs.columns:
             fp += "_"
         own = docs.join(again, same, "left_semi").withColumn(fp, set_print(k)(docs["text"]))
-        own = own.join(again, same & F.col(fp).eqNullSafe(heads["head_fp"]), "left_semi")
+        own = own.join(again, same & F.col(fp).eqNullSafe(again["head_fp"]), "left_semi")
         worded = own.where(F.col(fp).isNotNull()).dropDuplicates(["doc_id", fp])
         bare = own.where(F.col(fp).isNull()).dropDuplicates(["doc_id", "text"])
         kept = kept.union(worded.union(bare).drop(fp))
