@@ -71,7 +71,7 @@ class Reader:
     """Turns texts into tokens."""
 
     def __init__(self):
-        self.of = Cache(describe)
+        self.of = Cache(describe, 50_000)
 
     def read(self, text: str) -> np.ndarray:
         """A row for each string between white space: the tokens of word, shape, end, repeated word, repeated line (-1: none)."""
@@ -230,8 +230,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("sample_text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", fold(F.col("doc_id")).alias("fold"), "sample_text")
 
     def run(batches):
+        reader = Reader()
         for b in batches:
-            tokens = [pa.compress(reader().read(t).tobytes(), "zstd", asbytes=True) for t in b.column(3).to_pylist()]
+            tokens = [pa.compress(reader.read(t).tobytes(), "zstd", asbytes=True) for t in b.column(3).to_pylist()]
             size = [10 * len(t.split()) for t in b.column(3).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(size, pa.int64()), pa.array(tokens, pa.binary())], ["doc_id", "label", "fold", "size", "tokens"])
 
@@ -241,22 +242,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     return Model.fit(tokens, np.array([r.label for r in rows], np.float64), np.array([r.fold == CALIBRATE for r in rows], bool))
 
 
-_reader: list[Reader] = []
-
-
-def reader() -> Reader:
-    if not _reader:
-        _reader.append(Reader())
-    return _reader[0]
-
-
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every whole text."""
     ship(docs.sparkSession)
 
     def run(batches):
+        reader = Reader()
         for b in batches:
-            scores = [model.scores([t or "" for t in b.slice(i, 256).column(2).to_pylist()], reader()) for i in range(0, b.num_rows, 256)]
+            scores = [model.scores([t or "" for t in b.slice(i, 256).column(2).to_pylist()], reader) for i in range(0, b.num_rows, 256)]
             p = np.concatenate([np.zeros(0), *scores])
             yield pa.record_batch([b.column(0), b.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -269,9 +262,10 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
     at = docs.columns.index("text")
 
     def run(batches):
+        reader = Reader()
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                yield part.filter(pa.array(model.scores([t or "" for t in part.column(at).to_pylist()], reader()) >= threshold))
+                yield part.filter(pa.array(model.scores([t or "" for t in part.column(at).to_pylist()], reader) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -53,7 +53,7 @@ BANDS, BAND_ROWS = 8, 3
 
 
 def word_hashes() -> Cache:
-    return Cache(xxhash.xxh64_intdigest, 400_000)
+    return Cache(xxhash.xxh64_intdigest, 100_000)
 
 
 def gram_set(text: str | None, k: int, of: Cache) -> np.ndarray:

@@ -50,7 +50,7 @@ class ByteBpe:
         ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.specials}
         self.encoding = tiktoken.Encoding("file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=self.specials)
         self.wide_space = regex.compile(r"\s \s")
-        self.parts = Cache(self._ids, 200_000)
+        self.parts = Cache(self._ids, 100_000)
 
     def _ids(self, part: str) -> bytes:
         return np.array(self.encoding.encode_ordinary(part), "<u4").tobytes()
