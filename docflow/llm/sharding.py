@@ -97,7 +97,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, n_slots: int = SLOTS) -
     path = f"{checkpoint_dir(spark)}/docflow/slot-map-{uuid.uuid4().hex}"
     recs = records(docs, n_slots)
     loads_path = path + "-loads"
-    slot_loads(recs).coalesce(1).write.parquet(loads_path)  # at most n_slots rows
+    slot_loads(recs).repartition(1).write.parquet(loads_path)  # at most n_slots rows, added up before they come to one task
     loads = spark.read.schema("virtual_slot int, bytes long, n_rows long").parquet(loads_path)
     store_map(first_map(spark, n_shards, n_slots), path)
     store_map(rebalance(load_map(spark, path, 1), loads, n_shards), path)
