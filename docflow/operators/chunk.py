@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docflow.config import ChunkConfig
 from docflow.functions.text import word_count
-from docflow.operators.structure import trimmed
+from docflow.operators.structure import chunk_headings, prepend_headings, trimmed, truncate_corrupt
 from docflow.session import ship
 
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
@@ -137,19 +137,89 @@ def chunk_documents(docs: DataFrame, config: ChunkConfig = ChunkConfig(), text:
     return docs.select("doc_id", F.col(text).alias("t")).mapInPandas(run, schema)
 
 
+def under_headings(content: str, prefix: str, short: str, config: ChunkConfig = ChunkConfig(), count=count_tokens) -> list[tuple[str, bool]]:
+    """The chunk below its headings, in parts where both are over the hard maximum, and whether a part has headings. Where the
+    headings leave under min_tokens, the short ones stand above; a part that is still too long stands alone."""
+    if count(prefix + content) <= config.hard_max:
+        return [(prefix + content, True)]
+    above = short if config.hard_max - count(prefix) < config.min_tokens else prefix
+    return [(above + part, True) if count(above + part) <= config.hard_max else (part, False) for part in force_split(content, config, count)]
+
+
+def chunk_under_headings(docs: DataFrame, config: ChunkConfig = ChunkConfig(), text: str = "text") -> DataFrame:
+    """As chunk_documents, each chunk below the headings over it, with section_path."""
+    chunks = chunk_documents(docs, config, text)
+    over = chunk_headings(chunks, docs, text)
+    path, levels = (F.coalesce(c, F.array().cast(t)) for c, t in ((F.col("path"), "array<string>"), (F.col("levels"), "array<int>")))
+    pairs = F.filter(F.zip_with(path, levels, lambda h, n: F.struct(F.get(truncate_corrupt(F.array(h)), 0).alias("h"), n.alias("n"))), lambda x: x["h"].isNotNull())
+    short = prepend_headings(F.transform(pairs, lambda x: x["h"]), F.transform(pairs, lambda x: x["n"]), F.lit(""))
+    rows = chunks.join(over, ["doc_id", "chunk_id"]).select("doc_id", "chunk_index", "content", path.alias("path"), prepend_headings(path, levels, F.lit("")).alias("prefix"), short.alias("short"))
+
+    def run(batches):
+        for pdf in batches:
+            out = [(d, i, k, c, len(c.split()), count_tokens(c), list(p) if headed else ["[TRUNCATED_HEADING]"]) for d, i, t, p, a, s in pdf.itertuples(index=False) for k, (c, headed) in enumerate(under_headings(t, a, s, config))]
+            yield pd.DataFrame(out, columns=["doc_id", "at", "part", "content", "word_count", "token_count", "section_path"])
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, at int, part int, content string, word_count int, token_count int, section_path array<string>"
+    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "part"))
+    numbered = rows.mapInPandas(run, schema).withColumn("chunk_index", index)
+    return numbered.select("doc_id", "chunk_index", F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"), "content", "word_count", "token_count", "section_path")
+
+
+def force_split_documents(docs: DataFrame, config: ChunkConfig = ChunkConfig(), text: str = "text") -> DataFrame:
+    """T9 on whole texts (a null one is empty): doc_id, part, content."""
+    ship(docs.sparkSession)
+    parts = F.pandas_udf(lambda s: s.map(lambda x: force_split(x, config)), "array<string>")
+    return docs.select("doc_id", F.posexplode(parts(F.coalesce(F.col(text), F.lit("")))).alias("part", "content"))
+
+
 def chunk_elements(elements: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """A document's elements (doc_id, idx, text, tokens) packed in order to the target, without overlap: doc_id, chunk, content."""
-
-    def fold(acc: Column, x: Column) -> Column:
-        full = (acc["held"] > 0) & (acc["held"] + x["tokens"] > config.target_tokens)
-        return F.struct(
-            F.when(full, x["tokens"]).otherwise(acc["held"] + x["tokens"]).alias("held"), F.when(full, acc["chunk"] + 1).otherwise(acc["chunk"]).alias("chunk"),
-            F.concat(acc["out"], F.array(F.struct(F.when(full, acc["chunk"] + 1).otherwise(acc["chunk"]).alias("chunk"), x["idx"].cast("long").alias("idx"), x["text"].alias("text")))).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).alias("held"), F.lit(0).alias("chunk"), F.array().cast("array<struct<chunk:int,idx:bigint,text:string>>").alias("out"))
-    packed = elements.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", "text", "tokens"))).alias("xs")).select("doc_id", F.inline(F.aggregate("xs", start, fold)["out"]))
-    return packed.groupBy("doc_id", "chunk").agg(F.array_join(F.sort_array(F.collect_list(F.struct("idx", "text")))["text"], "\n\n").alias("content"))
+    """A document's elements (doc_id, idx, text, tokens) packed in order, without overlap: doc_id, chunk, content.
+
+    A chunk ends where it reaches the target, or before an element that would take it over the maximum; a rest of under min_tokens goes,
+    unless it is the only element. The elements of a document pass in order, so that a task holds one chunk at a time.
+    """
+    ship(elements.sparkSession)
+    doc = Window.partitionBy("doc_id")
+    marks = F.length("text") - F.length(F.translate("text", ".!?", ""))
+    simple = (F.sum(marks).over(doc) <= 3) | (F.sum(word_count(F.col("text"))).over(doc) < 100)
+    most = F.when(simple, config.hard_max).otherwise(config.soft_max)
+    ordered = elements.select("doc_id", "idx", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    ordered = ordered.withColumns({"most": most, "n": F.count("*").over(doc)}).repartition("doc_id").sortWithinPartitions("doc_id", "idx")
+
+    def run(batches):
+        doc, only, held, number, texts, out = None, False, 0, 0, [], []
+
+        def close():
+            nonlocal held, number, texts
+            content = "\n\n".join(x for x in map(str.strip, texts) if x)
+            if content:
+                out.append((doc, number, content))
+                number += 1
+            held, texts = 0, []
+
+        def end():
+            if texts and (held >= config.min_tokens or only):
+                close()
+
+        names = ["doc_id", "chunk", "content"]
+        for pdf in batches:
+            for d, _, text, tokens, most, n in pdf.itertuples(index=False):
+                if d != doc:
+                    end()
+                    doc, only, held, number, texts = d, n == 1, 0, 0, []
+                if texts and held + tokens > most:
+                    close()
+                texts.append(text)
+                held += tokens
+                if held >= config.target_tokens:
+                    close()
+            yield pd.DataFrame(out, columns=names)
+            out.clear()
+        end()
+        yield pd.DataFrame(out, columns=names)
+
+    return ordered.mapInPandas(run, f"doc_id {elements.schema['doc_id'].dataType.simpleString()}, chunk int, content string")
 
 
 def register_udtf(spark) -> None:

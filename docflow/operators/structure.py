@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docflow.functions.text import words
+
 # Patterns of a table of contents.
 KEYWORDS = r"(?i)\b(?:table\s+of\s+contents?|toc|contents?|index|outline|summary|chapter\s+list)\b"
 DOTTED = r"^(.+?)\.{2,}\s*(\d+)$"
@@ -38,19 +40,38 @@ def headings(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.where((F.col("level") > 0) & (F.col("heading") != "")).select("doc_id", "line_number", "level", "heading")
 
 
-def heading_asof(chunks: DataFrame, heads: DataFrame) -> DataFrame:
-    """Chunks (doc_id, chunk_id, line_number) with the last heading at or before their line, else the document's first.
+def heading_asof(chunks: DataFrame, heads: DataFrame, carried: tuple[str, ...] = ("level", "heading")) -> DataFrame:
+    """Chunks (doc_id, chunk_id, line_number) with the carried columns of the last heading at or before their line, else of the
+    document's first.
 
     An as-of join as one union and a running last value: one shuffle by document, linear in its lines.
     """
-    left = chunks.select("doc_id", "line_number", F.lit(1).alias("kind"), "chunk_id", F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("heading"))
-    right = heads.select("doc_id", "line_number", F.lit(0).alias("kind"), F.lit(None).cast(chunks.schema["chunk_id"].dataType).alias("chunk_id"), "level", "heading")
+    left = chunks.select("doc_id", "line_number", F.lit(1).alias("kind"), "chunk_id", *[F.lit(None).cast(heads.schema[c].dataType).alias(c) for c in carried])
+    right = heads.select("doc_id", "line_number", F.lit(0).alias("kind"), F.lit(None).cast(chunks.schema["chunk_id"].dataType).alias("chunk_id"), *carried)
     order = Window.partitionBy("doc_id").orderBy("line_number", "kind")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    h = F.when(F.col("kind") == 0, F.struct("level", "heading"))
+    h = F.when(F.col("kind") == 0, F.struct(*carried))
     both = left.unionByName(right).withColumn("h", F.coalesce(F.last(h, ignorenulls=True).over(upto), F.first(h, ignorenulls=True).over(whole)))
-    return both.where("kind = 1").select("doc_id", "chunk_id", "line_number", F.col("h.level").alias("level"), F.col("h.heading").alias("heading"))
+    return both.where("kind = 1").select("doc_id", "chunk_id", "line_number", *[F.col(f"h.{c}").alias(c) for c in carried])
+
+
+def chunk_line(content: Column, text: Column) -> Column:
+    """The line of the text where the chunk begins, by its first five words (its first 50 characters where these are under 10),
+    then the same in the text with single spaces; null where neither is found."""
+    start = F.array_join(F.slice(words(content), 1, 5), " ")
+    probe = F.when(F.length(start) < 10, F.substring(content, 1, 50)).otherwise(start)
+    spaced = F.array_join(words(text), " ")
+    at = F.coalesce(F.nullif(F.position(probe, text), F.lit(0)), F.nullif(F.position(F.array_join(words(probe), " "), spaced), F.lit(0)))
+    before = F.substring(text, F.lit(1), at - 1)
+    return F.length(before) - F.length(F.translate(before, "\n", ""))
+
+
+def chunk_headings(chunks: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, chunk_id, path and levels of the headings over each chunk (doc_id, chunk_id, content); a chunk that is not found
+    lies under the last heading, a document without headings gives nulls."""
+    placed = chunks.join(docs.select("doc_id", F.col(text).alias("_text")), "doc_id").select("doc_id", "chunk_id", F.coalesce(chunk_line(F.col("content"), F.col("_text")), F.lit(2**31 - 1)).alias("line_number"))
+    return heading_asof(placed, heading_paths(headings(docs, text)), ("path", "levels")).drop("line_number")
 
 
 def heading_paths(heads: DataFrame) -> DataFrame:
@@ -68,7 +89,8 @@ def heading_paths(heads: DataFrame) -> DataFrame:
 
     up = seen.withColumn("a", nearest(F.col("level"), F.col("line_number"))).withColumn("b", nearest(F.col("a")["level"], F.col("a")["at"]))
     path = F.array_compact(F.array(F.col("b")["heading"], F.col("a")["heading"], F.col("heading")))
-    return up.select("doc_id", "line_number", "level", "heading", path.alias("path"))
+    levels = F.array_compact(F.array(F.col("b")["level"], F.col("a")["level"], F.col("level")))
+    return up.select("doc_id", "line_number", "level", "heading", path.alias("path"), levels.alias("levels"))
 
 
 def prepend_headings(path: Column, levels: Column, content: Column) -> Column:
@@ -117,11 +139,11 @@ def dense_windows(marked: DataFrame) -> DataFrame:
     sums = marked.withColumn("n", F.count("*").over(doc)).withColumn("w", window_size(F.col("n")))
     for c in ("filled", "page", "structure"):
         sums = sums.withColumn(f"sum_{c}", F.sum(c).over(upto))
-    # The window [i, i + w) ends at line i + w - 1, so its sums are found by looking w - 1 lines ahead; w is one of 11 values.
+    # The window [i, i + w) ends at line i + w - 1, so its sums are found by looking w - 1 lines ahead; the lines read bound w.
     ahead = doc.orderBy("line_number")
     for c in ("filled", "page", "structure"):
         end = F.lit(None).cast("long")
-        for w in range(5, 16):
+        for w in range(5, min(15, max(5, FIRST_LINES // 150)) + 1):
             end = F.when(F.col("w") == w, F.lead(f"sum_{c}", w - 1).over(ahead)).otherwise(end)
         sums = sums.withColumn(f"in_{c}", end - F.col(f"sum_{c}") + F.col(c))
     step = F.greatest(F.lit(2), F.floor(F.col("w") / 2).cast("int"))

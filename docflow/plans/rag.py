@@ -11,7 +11,7 @@ from docflow.config import ChunkConfig, SearchConfig
 from docflow.functions import entities
 from docflow.functions.encode import hashing_encoder
 from docflow.functions.text import prompt, word_count
-from docflow.operators.chunk import chunk_documents
+from docflow.operators.chunk import chunk_under_headings
 from docflow.operators.clean import clean_text
 from docflow.operators.context import LanguageModel, build_context, generate
 from docflow.operators.search import two_stage
@@ -24,7 +24,7 @@ SYSTEM = "You are a helpful assistant that answers questions from the given cont
 def ingest(spark: SparkSession, path: str, config: ChunkConfig = ChunkConfig(), encode: Callable[[Column], Column] = hashing_encoder) -> DataFrame:
     """Files to cleaned, enriched, embedded chunks; one job, tasks by file."""
     docs = scan_documents(spark, path).where(F.length(F.trim("text")) > 0)
-    chunks = chunk_documents(docs, config).withColumn("content", clean_text(F.col("content"))).where(F.col("content") != "")
+    chunks = chunk_under_headings(docs, config).withColumn("content", clean_text(F.col("content"))).where(F.col("content") != "")
     return with_entities(chunks.withColumn("word_count", word_count(F.col("content")))).withColumn("embedding", encode(F.col("content")).cast("array<float>"))
 
 

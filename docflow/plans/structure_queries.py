@@ -37,7 +37,28 @@ def heading_asof(spark, sf):
 SELECT a.doc_id, a.line_number, a.level, a.heading, coalesce(c.heading || ' > ', '') || coalesce(b.heading || ' > ', '') || a.heading AS path
 FROM up a LEFT JOIN up b ON b.doc_id = a.doc_id AND b.line_number = a.parent LEFT JOIN up c ON c.doc_id = a.doc_id AND c.line_number = b.parent""")
 def heading_path(spark, sf):
-    return structure.heading_paths(heads(spark, sf)).withColumn("path", F.array_join("path", " > "))
+    return structure.heading_paths(heads(spark, sf)).drop("levels").withColumn("path", F.array_join("path", " > "))
+
+
+PROBE = f"CASE WHEN length(array_to_string({sql_words('content')}[1:5], ' ')) < 10 THEN substring(content, 1, 50) ELSE array_to_string({sql_words('content')}[1:5], ' ') END"
+
+
+@query(f"""WITH {HEADS}, up AS (SELECT a.*, (SELECT max(b.line_number) FROM h b WHERE b.doc_id = a.doc_id AND b.line_number < a.line_number AND b.level < a.level) AS parent FROM h a),
+paths AS (SELECT a.doc_id, a.line_number, list_filter([c.heading, b.heading, a.heading], lambda x: x IS NOT NULL) AS path FROM up a LEFT JOIN up b ON b.doc_id = a.doc_id AND b.line_number = a.parent LEFT JOIN up c ON c.doc_id = a.doc_id AND c.line_number = b.parent),
+p AS (SELECT l.doc_id, l.line_number AS chunk_id, line AS content, text FROM l JOIN {MARKDOWN_SQL} d ON d.doc_id = l.doc_id WHERE {sql_trim('line')} <> ''), q AS (SELECT *, {PROBE} AS probe FROM p),
+f AS (SELECT *, coalesce(nullif(instr(text, probe), 0), nullif(instr(array_to_string({sql_words('text')}, ' '), array_to_string({sql_words('probe')}, ' ')), 0)) AS pos FROM q),
+g AS (SELECT doc_id, chunk_id, coalesce(length(left(text, pos - 1)) - length(replace(left(text, pos - 1), chr(10), '')), 2147483647) AS line_number FROM f), first AS (SELECT doc_id, arg_min(path, line_number) AS path FROM paths GROUP BY 1)
+SELECT g.doc_id, g.chunk_id, array_to_string(coalesce(paths.path, first.path), ' > ') AS path FROM g ASOF LEFT JOIN paths ON g.doc_id = paths.doc_id AND g.line_number >= paths.line_number LEFT JOIN first ON first.doc_id = g.doc_id""")
+def chunk_headings(spark, sf):
+    """Each line of a document as a chunk, found by its first words."""
+    d = markdown(docs(spark, sf))
+    lines = structure.lines(d).where(structure.trimmed(F.col("line")) != "").select("doc_id", F.col("line_number").alias("chunk_id"), F.col("line").alias("content"))
+    return structure.chunk_headings(lines, d).select("doc_id", "chunk_id", F.array_join("path", " > ").alias("path"))
+
+
+@query()
+def chunk_under_headings(spark, sf):
+    return chunk.chunk_under_headings(markdown(docs(spark, sf)))
 
 
 @query(f"WITH {HEADS} SELECT doc_id, line_number, CASE WHEN length(heading || ' GLYPH') > 50 THEN substring(heading || ' GLYPH', 1, 50) || '...' ELSE heading || ' GLYPH' END AS heading FROM h WHERE length(heading || ' GLYPH') > 10")
@@ -128,8 +149,7 @@ def chunk_greedy(spark, sf):
 @query()
 def force_split(spark, sf):
     """T9 on whole texts: what the packer does with an oversized sentence."""
-    parts = F.pandas_udf(lambda s: s.map(chunk.force_split), "array<string>")
-    return docs(spark, sf).select("doc_id", F.posexplode(parts("text")).alias("part", "content"))
+    return chunk.force_split_documents(docs(spark, sf))
 
 
 @query()
