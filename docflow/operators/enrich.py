@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.functions.text import normalize
+from docflow.session import materialize
 
 THRESHOLD, PAGE_TOLERANCE, ACCEPTED = 0.7, 2, 0.3
 FUZZY_ELEMENTS, PAGE_ELEMENTS = 50, 20
+SHORT, MOST_ELEMENTS = 5, 3000
 
 
 def match_exact(chunks: DataFrame, elements: DataFrame) -> DataFrame:
@@ -31,8 +34,6 @@ def match_contains(chunks: DataFrame, elements: DataFrame) -> DataFrame:
 
 def match_fuzzy(chunks: DataFrame, elements: DataFrame) -> DataFrame:
     """The most similar of the first 50 elements of 10 to 150 characters, by longest matching blocks."""
-    from pyspark.sql.window import Window
-
     early = elements.where(F.length("text").between(10, 150)).withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("idx"))).where(F.col("n") <= FUZZY_ELEMENTS)
     e = early.select("doc_id", "idx", normalize(F.col("text")).alias("enorm"))
     pairs = chunks.withColumn("norm", normalize(F.col("content"))).join(e, "doc_id")
@@ -58,13 +59,26 @@ def match_page(chunks: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def match_priority(chunks: DataFrame, elements: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """The first kind of match that there is, for every chunk; later kinds see only chunks that are still open."""
-    out, left = None, chunks
-    for kind in (match_exact, match_contains, *([match_fuzzy] if fuzzy else []), match_page):
-        found = kind(left, elements).where(F.col("confidence") > ACCEPTED)
-        out = found if out is None else out.unionByName(found)
-        left = left.join(found.select("chunk_id"), "chunk_id", "left_anti")
-    return chunks.select("chunk_id").join(out, "chunk_id", "left")
+    """The first kind of match that there is, for every chunk. Each kind is computed once; the fuzzy one, which costs most, sees
+    only the chunks that no other kind of equal text found, and these are written to the shared folder."""
+
+    def first(*found: tuple[int, DataFrame]) -> DataFrame:
+        every = reduce(DataFrame.unionByName, [rows.where(F.col("confidence") > ACCEPTED).withColumn("rank", F.lit(rank)) for rank, rows in found])
+        best = every.groupBy("chunk_id").agg(F.min(F.struct("rank", "idx", "method", "confidence")).alias("b"))
+        return best.select("chunk_id", "b.idx", "b.method", "b.confidence", "b.rank")
+
+    same = [(0, match_exact(chunks, elements)), (1, match_contains(chunks, elements))]
+    if fuzzy:
+        sure = materialize(first(*same), "matches")
+        left = chunks.join(sure.select("chunk_id"), "chunk_id", "left_anti")
+        same = [(0, sure.drop("rank")), (2, match_fuzzy(left, elements))]
+    return chunks.select("chunk_id").join(first(*same, (3, match_page(chunks, elements))).drop("rank"), "chunk_id", "left")
+
+
+def usable_elements(elements: DataFrame) -> DataFrame:
+    """elements of more than 5 characters, the first 3,000 of a document, which is a limit of the feature itself."""
+    long_ = elements.where(F.length(F.trim("text")) > SHORT)
+    return long_.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("idx"))).where(F.col("_n") <= MOST_ELEMENTS).drop("_n")
 
 
 def layout_elements(layouts: DataFrame) -> DataFrame:
@@ -80,4 +94,4 @@ def layout_elements(layouts: DataFrame) -> DataFrame:
     return layouts.select("doc_id", F.posexplode(F.concat(texts, tables, figures, referred)).alias("idx", "e")).select("doc_id", "idx", "e.text", "e.page", "e.level")
 
 
-__all__ = ["layout_elements", "match_contains", "match_exact", "match_fuzzy", "match_page", "match_priority"]
+__all__ = ["layout_elements", "match_contains", "match_exact", "match_fuzzy", "match_page", "match_priority", "usable_elements"]

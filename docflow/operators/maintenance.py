@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.operators.search import keep_first
 
 
-def duplicate_counts(rows: DataFrame, key: str) -> DataFrame:
-    """A1: keys that occur more than once."""
-    return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+def duplicate_counts(rows: DataFrame, *key: str) -> DataFrame:
+    """Keys that occur more than once."""
+    return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def duplicate_summary(rows: DataFrame, key: str) -> DataFrame:
@@ -28,7 +28,14 @@ def remove_duplicates(rows: DataFrame, key: list[str], order: list[Column], dry_
     """A3, K9: the rows that stay; with dry_run those that would go."""
     if not dry_run:
         return keep_first(rows, key, order)
-    return rows.exceptAll(keep_first(rows, key, order))
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n > 1").drop("_n")
+
+
+def last_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """U8: for each key the values of its last row in a stated order, and how many rows were merged; combined before the shuffle."""
+    values = [c for c in rows.columns if c not in key]
+    last = F.max_by(F.struct(*values), F.struct(*order)).alias("_last")
+    return rows.groupBy(*key).agg(last, F.count("*").alias("merged")).select(*key, "_last.*", "merged")
 
 
 def unprocessed(files: DataFrame, processed: DataFrame, key: str = "fingerprint") -> DataFrame:

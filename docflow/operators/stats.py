@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docflow.functions.text import word_count
 from docflow.functions.vectors import doubles, features, norm
 
 # Word counts under and over which a chunk is short or long, and the range that is best.
@@ -60,9 +61,9 @@ def dimension_stats(rows: DataFrame) -> DataFrame:
 
 
 def correlations(rows: DataFrame, names: list[str]) -> DataFrame:
-    """All pairs of columns in one pass over the rows."""
+    """All pairs of columns in one pass over the rows; null where a column is constant."""
     pairs = [(a, b) for a in names for b in names]
-    one = rows.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    one = rows.agg(*[F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias(f"{a}|{b}") for a, b in pairs])
     cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.col(f"`{a}|{b}`"), 4).alias("r")) for a, b in pairs])
     return one.select(F.inline(cells))
 
@@ -101,9 +102,45 @@ def ecdf(rows: DataFrame, value: Column) -> DataFrame:
 
 
 def advice(stats: DataFrame) -> DataFrame:
-    """From one row with mean, std, short_pct, long_pct, optimal_pct."""
+    """From one row with mean, std, short_pct, long_pct, optimal_pct, and what it has of sparsity_pct, mean_norm, silhouette."""
+    c = F.col
     rules = [
-        (F.col("std") > 0.5 * F.col("mean"), "sizes vary widely"), (F.col("short_pct") > 10, "many short chunks"),
-        (F.col("long_pct") > 5, "many long chunks"), (F.col("optimal_pct") > 70, "most chunks have a good size"),
+        (c("std") > 0.5 * c("mean"), "sizes vary widely"), (c("short_pct") > 10, "many short chunks"),
+        (c("long_pct") > 5, "many long chunks"), (c("optimal_pct") > 70, "most chunks have a good size"),
     ]
-    return stats.select(F.array_compact(F.array(*[F.when(c, s) for c, s in rules])).alias("advice"))
+    if "sparsity_pct" in stats.columns:
+        rules.append((c("sparsity_pct") > 10, "embeddings are sparse"))
+    if "mean_norm" in stats.columns:
+        usual = c("mean_norm").between(0.1, 10)
+        rules += [(~usual, "norms are unusual"), (usual, "norms are usual")]
+    if "silhouette" in stats.columns:
+        strong, some = c("silhouette") > 0.5, c("silhouette") > 0.3
+        rules += [(strong, "clusters are strong"), (some & ~strong, "clusters are moderate"), (~some, "clusters are weak")]
+    return stats.select(F.array_compact(F.array(*[F.when(when, said) for when, said in rules])).alias("advice"))
+
+
+#: The nine properties whose correlations are asked for.
+PROPERTIES = ["word_count", "content_length", "section_depth", "norm", "mean", "std", "value_range", "max_value", "min_value"]
+
+
+def property_correlations(chunks: DataFrame) -> DataFrame:
+    """A, b, r for the nine properties of chunks (content, section_path, embedding) that have an embedding."""
+    found = chunks.where(F.size("embedding") > 0)
+    names = ("norm", "mean", "std", "min_value", "max_value", "value_range")
+    rows = found.select(
+        word_count(F.col("content")).alias("word_count"), F.length("content").alias("content_length"), F.coalesce(F.size("section_path"), F.lit(0)).alias("section_depth"),
+        *[f.alias(n) for f, n in zip(features(F.col("embedding")), names, strict=True)],
+    )
+    return correlations(rows, PROPERTIES)
+
+
+def enrichment_counts(chunks: DataFrame, matched: Column, core: list[str], entities: list[str]) -> DataFrame:
+    """Chunks, those that match, those with a column beside the core ones, and the entities in all (arrays)."""
+    extended = F.lit(False)
+    for name in chunks.columns:
+        if name not in core:
+            extended = extended | F.col(name).isNotNull()
+    each = F.lit(0)
+    for name in entities:
+        each = each + F.coalesce(F.size(name), F.lit(0))
+    return chunks.agg(F.count("*").alias("chunks"), F.count_if(matched).alias("matched"), F.count_if(extended).alias("extended"), F.coalesce(F.sum(each), F.lit(0)).alias("entities"))

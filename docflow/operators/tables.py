@@ -22,7 +22,7 @@ def separator(cells: Column) -> Column:
 def grid_to_markdown(grid: Column) -> Column:
     """A grid (array of arrays of strings); its first row is the header."""
     first = F.get(grid, 0)
-    return F.array_join(F.concat(F.array(render_row(first), separator(first)), F.transform(F.slice(grid, 2, 1_000_000), render_row)), "\n")
+    return F.array_join(F.concat(F.array(render_row(first), separator(first)), F.transform(F.slice(grid, 2, F.greatest(F.size(grid), F.lit(1))), render_row)), "\n")
 
 
 def rows_to_markdown(rows: DataFrame, header: list[str], order: str) -> DataFrame:
@@ -37,7 +37,7 @@ def pack_rows(rows: DataFrame) -> DataFrame:
     else the header repeated and rows packed to 450. A fold over each table's rows; table_id, part, n_parts, content."""
     xs = F.sort_array(F.collect_list(F.struct("row_index", "line", "tokens")))
     each = rows.groupBy("table_id").agg(F.sum("tokens").alias("total"), xs.alias("xs"))
-    head, body = F.get("xs", 0), F.slice("xs", 2, 1_000_000)
+    head, body = F.get("xs", 0), F.slice("xs", 2, F.size("xs"))
     room = F.when(F.col("total") <= SINGLE, F.lit(1 << 30)).otherwise(PART - head["tokens"])
 
     def fold(acc: Column, x: Column) -> Column:

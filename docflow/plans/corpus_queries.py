@@ -67,7 +67,7 @@ def scan_page(spark, sf):
     return files.page_of(docs(spark, sf), "doc_id", 100, 50, ["doc_id", "source"])
 
 
-@query()
+@query("SELECT doc_id, source FROM documents ORDER BY md5(doc_id || '|42'), doc_id LIMIT 20")
 def sample_chunks(spark, sf):
     return files.sample(docs(spark, sf), "doc_id", 20).select("doc_id", "source")
 
@@ -143,6 +143,39 @@ def corr_matrix(spark, sf):
     return stats.correlations(stats.embedding_features(table(spark, sf, "embeddings")), NAMES)
 
 
+SCALED = "list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 7))"
+PROPERTY = f"""WITH v AS (SELECT vec_id, {SCALED} AS e FROM embeddings WHERE len(embedding) > 0),
+f AS (SELECT len({sql_words('text')}) AS word_count, length(text) AS content_length, len(string_split(source, 'e')) AS section_depth, sqrt(list_dot_product(e, e)) AS norm, list_sum(e) / len(e) AS mean,
+ sqrt(list_sum(list_transform(e, lambda x: (x - list_sum(e) / len(e)) ^ 2)) / len(e)) AS std, list_max(e) - list_min(e) AS value_range, list_max(e) AS max_value, list_min(e) AS min_value FROM v JOIN documents ON doc_id = vec_id) """
+
+
+@query(PROPERTY + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE round(corr({a}, {b}), 4) END AS r FROM f" for a in stats.PROPERTIES for b in stats.PROPERTIES))
+def property_correlations(spark, sf):
+    e = table(spark, sf, "embeddings").withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("vec_id") % 7)))
+    chunks = docs(spark, sf).select("doc_id", F.col("text").alias("content"), F.split("source", "e").alias("section_path"))
+    return stats.property_correlations(e.join(chunks, F.col("doc_id") == F.col("vec_id")))
+
+
+@query(f"""SELECT count(*) AS chunks, count(*) FILTER (quality = 1) AS matched, count(*) FILTER (quality IS NOT NULL OR toxic IS NOT NULL) AS extended, CAST(sum(len({sql_words('text')}) + 1) AS BIGINT) AS entities FROM documents LEFT JOIN labels USING (doc_id)""")
+def enrichment_counts(spark, sf):
+    labels = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
+    chunks = docs(spark, sf).join(labels, "doc_id", "left").select("doc_id", "quality", "toxic", t.words(F.col("text")).alias("words"), F.array("lang").alias("langs"))
+    return stats.enrichment_counts(chunks, F.col("quality") == 1, ["doc_id", "words", "langs"], ["words", "langs"])
+
+
+@query("SELECT lang, source, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY ALL HAVING count(*) > 1")
+def result_duplicates(spark, sf):
+    """What a list of results holds more than once."""
+    return maintenance.duplicate_counts(docs(spark, sf), "lang", "source")
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, count(*) AS merged FROM events GROUP BY 1")
+def last_wins(spark, sf):
+    """U8: of the rows of each key the values of the last."""
+    e = table(spark, sf, "events")
+    return maintenance.last_wins(e, ["user_id"], ["ts", "event_id"]).select("user_id", "event_type", "merged")
+
+
 @query(f"WITH f AS ({FEATURES}) SELECT label AS depth, round(avg(max_value), 3) AS mean, round(stddev_samp(max_value), 3) AS std, count(*) AS n FROM f GROUP BY 1")
 def depth_stats(spark, sf):
     f = stats.embedding_features(table(spark, sf, "embeddings"))
@@ -164,12 +197,14 @@ def pca_components(spark, sf):
     return stats.principal_components(table(spark, sf, "embeddings"))
 
 
-@query(f"""WITH w AS (SELECT len({sql_words('text')}) AS v FROM documents), s AS (SELECT avg(v) AS mean, stddev_pop(v) AS std, 100.0 * count_if(v < 50) / count(*) AS short_pct, 100.0 * count_if(v > 500) / count(*) AS long_pct, 100.0 * count_if(v BETWEEN 100 AND 300) / count(*) AS optimal_pct FROM w)
-SELECT array_to_string(list_filter([CASE WHEN std > 0.5 * mean THEN 'sizes vary widely' END, CASE WHEN short_pct > 10 THEN 'many short chunks' END, CASE WHEN long_pct > 5 THEN 'many long chunks' END, CASE WHEN optimal_pct > 70 THEN 'most chunks have a good size' END], lambda x: x IS NOT NULL), '; ') AS advice FROM s""")
+@query(f"""WITH w AS (SELECT len({sql_words('text')}) AS v FROM documents), s AS (SELECT avg(v) AS mean, stddev_pop(v) AS std, 100.0 * count_if(v < 50) / count(*) AS short_pct, 100.0 * count_if(v > 500) / count(*) AS long_pct, 100.0 * count_if(v BETWEEN 100 AND 300) / count(*) AS optimal_pct FROM w),
+ e AS (SELECT avg(sqrt(list_dot_product({E}, {E}))) AS norm, 100.0 * sum(len(list_filter(embedding, lambda x: abs(x) < 1e-6))) / sum(len(embedding)) AS sparsity FROM embeddings)
+SELECT array_to_string(list_filter([CASE WHEN std > 0.5 * mean THEN 'sizes vary widely' END, CASE WHEN short_pct > 10 THEN 'many short chunks' END, CASE WHEN long_pct > 5 THEN 'many long chunks' END, CASE WHEN optimal_pct > 70 THEN 'most chunks have a good size' END, CASE WHEN sparsity > 10 THEN 'embeddings are sparse' END, CASE WHEN norm BETWEEN 0.1 AND 10 THEN 'norms are usual' ELSE 'norms are unusual' END], lambda x: x IS NOT NULL), '; ') AS advice FROM s, e""")
 def quality_advice(spark, sf):
     w = t.word_count(F.col("text"))
     d = docs(spark, sf)
-    both = stats.size_stats(d, w).crossJoin(stats.size_flags(d, w))  # one row each
+    vectors = stats.embedding_stats(table(spark, sf, "embeddings")).select("sparsity_pct", "mean_norm")
+    both = stats.size_stats(d, w).crossJoin(stats.size_flags(d, w)).crossJoin(vectors)  # one row each
     return stats.advice(both).select(F.array_join("advice", "; ").alias("advice"))
 
 

@@ -224,6 +224,11 @@ near AS (SELECT chunk_id, min(struct_pack(idx, same := c.page = e.page)) AS m FR
 page AS (SELECT chunk_id, m.idx AS idx, 'position' AS method, CASE WHEN m.same THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS confidence FROM near) """
 
 
+@query(f"SELECT doc_id, idx, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS n FROM ({ELEMENTS}) WHERE length(trim(text)) > 5) WHERE n <= 3000")
+def usable_elements(spark, sf):
+    return enrich.usable_elements(elements(spark, sf)).select("doc_id", "idx", "text")
+
+
 @query(MATCH + "SELECT * FROM exact")
 def match_exact(spark, sf):
     return enrich.match_exact(parts(spark, sf), elements(spark, sf)).select("chunk_id", "idx", "method", "confidence")

@@ -46,4 +46,4 @@ def page_of(rows: DataFrame, key: str, offset: int, limit: int, columns: list[st
 
 def sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """N rows by a hash of their key, the same for the same seed."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}"))), key).limit(n)
