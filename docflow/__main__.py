@@ -1,4 +1,4 @@
-"""Command line: python -m docflow ingest|search|evaluate|dedupe ..."""
+"""Command line: python -m docflow ingest|ask|evaluate|dedupe|export|sample|clear|drop ..."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from docflow.functions.encode import hashing_encoder
 from docflow.operators import evaluate, maintenance, search
 from docflow.plans.rag import RagPipeline, ingest
 from docflow.session import build_session
+from docflow.sources import files, sinks
 
 
 def parse(argv: list[str] | None = None) -> argparse.Namespace:
@@ -32,6 +33,17 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     v.add_argument("--order", required=True)
     v.add_argument("--output-dir")
     v.add_argument("--confirm", action="store_true", help="write the result; else only what would go is counted")
+    for verb, help_ in (("export", "chunks as JSON, without null fields"), ("sample", "some chunks, the same each time, with a preview only")):
+        v = verbs.add_parser(verb, help=help_)
+        v.add_argument("--chunks", required=True)
+        v.add_argument("--output-dir", required=True)
+        if verb == "sample":
+            v.add_argument("--n", type=int, default=20)
+    for verb, help_ in (("clear", "all rows of a chunk store go, the store stays"), ("drop", "a chunk store goes with its versions")):
+        v = verbs.add_parser(verb, help=help_)
+        v.add_argument("--store", required=True)
+        v.add_argument("--schema", required=True, help="columns of the store as in SQL")
+        v.add_argument("--confirm", action="store_true", help="do it; else only the rows are counted")
     return top.parse_args(argv)
 
 
@@ -48,6 +60,16 @@ def main(argv: list[str] | None = None) -> None:
         metrics = evaluate.evaluate(spark.read.parquet(args.run), evaluate.read_qrels(spark, args.qrels))
         metrics.coalesce(1).write.mode("overwrite").json(args.output_dir)  # one row for each depth
         metrics.orderBy("k").show()
+    elif args.verb == "export":
+        sinks.write_processed(spark.read.parquet(args.chunks), args.output_dir)
+    elif args.verb == "sample":
+        rows = files.sample(spark.read.parquet(args.chunks), "chunk_id", args.n)
+        sinks.export_sample(rows, True).coalesce(1).write.mode("overwrite").json(args.output_dir)  # n rows
+    elif args.verb in ("clear", "drop"):
+        store = sinks.ChunkStore(spark, args.store, args.schema)
+        print(f"{store.count()} rows")
+        if args.confirm:
+            store.clear(confirm=True) if args.verb == "clear" else store.drop(confirm=True)
     elif args.confirm:
         search.keep_first(spark.read.parquet(args.input), [args.key], [F.col(args.order)]).write.mode("errorifexists").parquet(args.output_dir)
     else:

@@ -85,6 +85,14 @@ class ChunkStore:
         self.create(drop_if_exists=True)
         return before, self.count()
 
+    def drop(self, confirm: bool = False) -> None:
+        """The folder goes with all versions; refuses without confirm, and where it holds no store."""
+        if not confirm:
+            raise ValueError("drop needs confirm=True")
+        if self.version():
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def count(self) -> int:
         return self.rows().count()
 
