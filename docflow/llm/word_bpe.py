@@ -19,12 +19,24 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.hashing import Cache
+from docflow.llm.hashing import LONG_KEY, Cache
 from docflow.session import materialize, ship
 
 #: A block of op2 is closed at so many characters of text.
 BLOCK_CHARS = 24_000_000
 
+#: Pre-tokens of so many bytes at most are merged side by side, in arrays; longer ones one by one.
+LANE_BYTES = 64
+
+#: Leaves of all trees that are merged side by side.
+LANE_LEAVES = 1 << 16
+
+#: Texts are encoded together up to so many characters; a longer text is a group of its own.
+GROUP_CHARS = 2_000_000
+
+#: So many strings make a generation of known ones full.
+KNOWN = 150_000
+
 _loaded: dict[str, WordBpe] = {}
 
 
@@ -93,6 +105,98 @@ def segment_tree_merge(symbols: list[int], ranks: dict[tuple[int, int], tuple[in
     return [s for s in symbols if s >= 0]
 
 
+class PairTable:
+    """Rank of a pair of symbols as an open hash table in arrays, for many pairs at once."""
+
+    def __init__(self, ranks: dict[tuple[int, int], tuple[int, int]], n_symbols: int):
+        self.base = n_symbols + 1  # n_symbols itself stands for no symbol
+        bits = max(4, (5 * len(ranks)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        keys = np.array([a * self.base + b for a, b in ranks], np.int64)
+        self.keys = np.full(self.mask + 1, -1, np.int64)
+        self.ranks = np.zeros(self.mask + 1, np.int64)
+        self.merged = np.zeros(len(ranks), np.int64)
+        for at, key, (rank, merged) in zip(self._slots(keys).tolist(), keys.tolist(), ranks.values(), strict=True):
+            while self.keys[at] >= 0:
+                at = (at + 1) & self.mask
+            self.keys[at], self.ranks[at], self.merged[rank] = key, rank, merged
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair, -1 where it has none."""
+        keys = a * self.base + b
+        at = self._slots(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.ranks[at], -1)
+        open_ = np.flatnonzero((there != keys) & (there >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            there = self.keys[at[open_]]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.ranks[at[open_[hit]]]
+            open_ = open_[~hit & (there >= 0)]
+        return out
+
+
+def segment_trees_merge(symbols: np.ndarray, sizes: np.ndarray, pairs: PairTable) -> tuple[np.ndarray, np.ndarray]:
+    """segment_tree_merge of many short words at once: a tree for each row, all of one width, a power of two.
+
+    symbols has a row for each word, filled up with the number for no symbol; sizes are the lengths of the words. Each round takes
+    the root of every tree that still has a mergeable pair, changes its three leaves and then their ancestors, level by level.
+    Returns the symbols that are left, row after row, and how many each row has.
+    """
+    n, width = symbols.shape
+    none, no_symbol, step = np.int64(1 << 62), pairs.base - 1, width + 2  # behind a row: the end, and what is before the start
+    cells = np.full((n, step), no_symbol, np.int64)
+    cells[:, :width] = symbols
+    after = np.tile(np.arange(1, step + 1), n)
+    before = np.tile(np.arange(-1, step - 1), n)
+    before[::step] = width + 1
+    ranks = pairs.find(cells[:, :width].ravel(), cells[:, 1 : width + 1].ravel()).reshape(n, width)
+    tree = np.empty((n, 2 * width), np.int64)
+    tree[:, width:] = np.where(ranks >= 0, ranks * width + np.arange(width), none)
+    level = width
+    while level > 1:
+        np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2], out=tree[:, level // 2 : level])
+        level //= 2
+    cells, tree, rows = cells.ravel(), tree.ravel(), np.arange(n)
+    while True:
+        roots = tree[rows * (2 * width) + 1]
+        live = roots != none
+        rows, roots = rows[live], roots[live]
+        if not len(rows):
+            break
+        start, trunk, at = rows * step, rows * (2 * width), roots % width
+        here = start + at
+        right = after[here]
+        beyond = after[start + right]
+        left = before[here]
+        merged = pairs.merged[roots // width]
+        cells[here], cells[start + right] = merged, -1
+        after[here] = beyond
+        before[start + beyond] = at
+        found = pairs.find(np.concatenate([merged, cells[start + left]]), np.concatenate([cells[start + beyond], merged]))
+        left = np.where(left < width, left, at)  # nothing before the first: its leaf stays as it is
+        places = np.concatenate([left, at])
+        leaf = np.where(found >= 0, found * width + np.concatenate([at, left]), none)
+        # The leaf of the pair that begins here goes last, as it stands in for a missing left one.
+        nodes = np.concatenate([trunk + width + left, trunk + width + at, trunk + width + right])
+        tree[nodes[: len(rows)]] = leaf[len(rows) :]
+        tree[nodes[len(rows) : 2 * len(rows)]] = leaf[: len(rows)]
+        tree[nodes[2 * len(rows) :]] = none
+        base = np.concatenate([trunk] * 3)
+        inner = np.concatenate([places, right]) + width
+        while inner[0] > 1:
+            inner >>= 1
+            child = base + 2 * inner
+            tree[base + inner] = np.minimum(tree[child], tree[child + 1])
+    kept = cells.reshape(n, step)[:, :width]
+    kept_here = (kept >= 0) & (np.arange(width) < sizes[:, None])
+    return kept[kept_here], kept_here.sum(1)
+
+
 class WordBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -105,14 +209,18 @@ class WordBpe:
         self.ranks = {}
         for rank, (a, b) in enumerate(model["merges"]):
             self.ranks[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+        self.pairs = PairTable(self.ranks, max(self.token) + 1)
+        self.id_text = {i: str(i) for i in self.token}
         symbols = byte_symbols()
         self.inner = [self.vocab[s] for s in symbols]
         self.final = [self.vocab[s + self.suffix] for s in symbols]
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))))
+        self.inner_of, self.final_of = np.array(self.inner, np.int64), np.array(self.final, np.int64)
         self.pieces = Cache(self._pieces)
-        self.rendered = Cache(self._rendered)
+        self.young: dict[str, tuple[int, str, str]] = {}
+        self.old: dict[str, tuple[int, str, str]] = {}
 
     def encode_pretoken(self, pretoken: str) -> list[int]:
         raw = pretoken.encode()
@@ -121,9 +229,48 @@ class WordBpe:
     def _pieces(self, chunk: str) -> tuple[str, ...]:
         return tuple(self.pattern.findall(chunk))
 
-    def _rendered(self, chunk: str) -> tuple[int, str, str]:
-        ids = [i for p in self.pattern.findall(chunk) for i in self.encode_pretoken(p)]
-        return len(ids), " ".join(map(str, ids)), " ".join([self.token[i] for i in ids])
+    def encode_pretokens(self, pretokens: list[str]) -> list[list[int]]:
+        """Token ids of each of many pre-tokens: those of like length side by side, very long ones one by one."""
+        raws = [p.encode() for p in pretokens]
+        out: list[list[int]] = [[]] * len(raws)
+        lanes: dict[int, list[int]] = {}
+        for i, raw in enumerate(raws):
+            if len(raw) > LANE_BYTES:
+                out[i] = self.encode_pretoken(pretokens[i])
+            else:
+                lanes.setdefault(max(2, 1 << (len(raw) - 1).bit_length()), []).append(i)
+        for width, all_of_width in lanes.items():
+            for some in range(0, len(all_of_width), LANE_LEAVES // width):
+                which = all_of_width[some : some + LANE_LEAVES // width]
+                sizes = np.array([len(raws[i]) for i in which], np.int64)
+                codes = np.frombuffer(b"".join([raws[i] for i in which]), np.uint8)
+                symbols = np.full((len(which), width), self.pairs.base - 1, np.int64)
+                symbols[np.arange(width) < sizes[:, None]] = self.inner_of[codes]
+                symbols[np.arange(len(which)), sizes - 1] = self.final_of[codes[np.cumsum(sizes) - 1]]
+                ids, counts = segment_trees_merge(symbols, sizes, self.pairs)
+                ids, at = ids.tolist(), 0
+                for i, n in zip(which, counts.tolist(), strict=True):
+                    out[i] = ids[at : at + n]
+                    at += n
+        return out
+
+    def render(self, chunks: list[str]) -> list[tuple[int, str, str]]:
+        """Number of tokens, ids joined by spaces, tokens joined by spaces of each string between white space."""
+        split = [self.pattern.findall(c) for c in chunks]
+        pretokens = list({p: None for found in split for p in found})
+        id_text, token = self.id_text, self.token
+        shown = {
+            p: (len(ids), " ".join([id_text[i] for i in ids]), " ".join([token[i] for i in ids]))
+            for p, ids in zip(pretokens, self.encode_pretokens(pretokens), strict=True)
+        }
+        out = []
+        for found in split:
+            if len(found) == 1:
+                out.append(shown[found[0]])
+            else:
+                parts = [shown[p] for p in found]
+                out.append((sum([x[0] for x in parts]), " ".join([x[1] for x in parts]), " ".join([x[2] for x in parts])))
+        return out
 
     def segments(self, text: str) -> list[tuple[bool, str]]:
         """(is special, string) in order; special strings are found in the raw text, before normalisation."""
@@ -160,18 +307,43 @@ class WordBpe:
         """The tokens joined by one space, as the file names no decoder."""
         return " ".join([self.token[i] for i in ids])
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of tokens, SHA-256 of the ids joined by spaces, SHA-256 of the decoded text."""
-        n, ids, tokens, render = 0, [], [], self.rendered
-        for special, part in self.segments(text):
-            if special:
-                n, ids, tokens = n + 1, [*ids, str(self.specials[part])], [*tokens, part]
-            elif found := list(map(render.__getitem__, self.chunks(part))):
-                counts, some_ids, some_tokens = zip(*found, strict=True)
-                n += sum(counts)
-                ids += filter(None, some_ids)
-                tokens += filter(None, some_tokens)
-        return n, hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(tokens).encode()).hexdigest()
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """For each text the number of tokens, SHA-256 of the ids joined by spaces, SHA-256 of the decoded text."""
+        out, group, chars = [], [], 0
+        for text in texts:
+            group.append([(special, part if special else self.chunks(part)) for special, part in self.segments(text)])
+            chars += len(text)
+            if chars >= GROUP_CHARS:
+                out += self._digest_group(group)
+                group, chars = [], 0
+        return out + self._digest_group(group)
+
+    def _digest_group(self, group: list[list[tuple[bool, str | list[str]]]]) -> list[tuple[int, str, str]]:
+        """Strings that are not known from earlier groups are encoded together, once each."""
+        words = set().union(*[x for parts in group for special, x in parts if not special])
+        shown = {c: v for c in words if (v := self.young.get(c) or self.old.get(c))}
+        new = [c for c in words if c not in shown]
+        shown.update(zip(new, self.render(new), strict=True))
+        self.remember(shown)
+        out = []
+        for parts in group:
+            n, ids, tokens = 0, [], []
+            for special, part in parts:
+                if special:
+                    n, ids, tokens = n + 1, [*ids, str(self.specials[part])], [*tokens, part]
+                elif part:
+                    counts, some_ids, some_tokens = zip(*map(shown.__getitem__, part), strict=True)
+                    n += sum(counts)
+                    ids += filter(None, some_ids)
+                    tokens += filter(None, some_tokens)
+            out.append((n, hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(tokens).encode()).hexdigest()))
+        return out
+
+    def remember(self, shown: dict[str, tuple[int, str, str]]) -> None:
+        """Two generations of short strings: the elder goes when the younger is full."""
+        self.young.update({c: v for c, v in shown.items() if len(c) <= LONG_KEY})
+        if len(self.young) > KNOWN:
+            self.old, self.young = self.young, {}
 
 
 def load(path: str) -> WordBpe:
@@ -203,9 +375,10 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         bpe = load(path)
         for b in batches:
-            rows = [bpe.digest(t or "") for t in b.column(1).to_pylist()]
-            n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                n, ids, decoded = zip(*bpe.digests([t or "" for t in part.column(1).to_pylist()]), strict=True)
+                yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -310,11 +483,12 @@ def join_pieces(names: DataFrame, path: str) -> DataFrame:
     def run(batches):
         bpe, last, n = load(path), None, 0
         for b in batches:
-            counts = []
-            for p in b.column(2).to_pylist():
-                if p != last:
-                    last, n = p, len(bpe.encode_pretoken(p))
-                counts.append(n)
+            names = b.column(2).to_pylist()
+            distinct = [p for p in dict.fromkeys(names) if p != last]
+            sizes = dict(zip(distinct, map(len, bpe.encode_pretokens(distinct)), strict=True))
+            sizes.setdefault(last, n)
+            counts = [sizes[p] for p in names]
+            last, n = (names[-1], counts[-1]) if names else (last, n)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(counts, pa.int32())], ["of_block", "col", "n_pieces"])
 
     return names.repartition("pretoken").sortWithinPartitions("pretoken").mapInArrow(run, "of_block long, col int, n_pieces int")

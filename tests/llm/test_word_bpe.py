@@ -67,3 +67,33 @@ def test_segment_tree_against_scan():
     for n in range(1, 200):
         s = [(n * k * k + k // 3) % 2 for k in range(n)]
         assert word_bpe.segment_tree_merge(s, ranks) == scan(s)
+
+
+def test_trees_side_by_side_against_one_tree():
+    import numpy as np
+
+    ranks = {(0, 0): (1, 2), (0, 1): (0, 3), (2, 3): (2, 4), (3, 3): (3, 5), (2, 2): (4, 6), (1, 1): (5, 2)}
+    pairs = word_bpe.PairTable(ranks, 7)
+    for width in (2, 4, 16, 64):
+        words = [[(n * k * k + k // 3 + n // 7) % 2 for k in range(1 + n % width)] for n in range(300)]
+        symbols = np.full((len(words), width), 7, np.int64)
+        for i, w in enumerate(words):
+            symbols[i, : len(w)] = w
+        left, counts = word_bpe.segment_trees_merge(symbols, np.array([len(w) for w in words]), pairs)
+        ends = np.cumsum(counts)
+        got = [left[e - c : e].tolist() for e, c in zip(ends, counts, strict=True)]
+        assert got == [word_bpe.segment_tree_merge(w, ranks) for w in words]
+
+
+def test_groups_and_a_cache_that_rolls_over(reference, monkeypatch):
+    """Small groups, a cache of five strings and narrow lanes give the same digests."""
+    monkeypatch.setattr(word_bpe, "GROUP_CHARS", 40)
+    monkeypatch.setattr(word_bpe, "LANE_LEAVES", 128)
+    monkeypatch.setattr(word_bpe, "KNOWN", 5)
+    bpe = word_bpe.WordBpe(PATH)
+    texts = [t or "" for t in ODD] * 2 + [f"wort{i} the of {i}isch-{i % 3} " * 3 for i in range(50)]
+    for text, got in zip(texts, bpe.digests(texts), strict=True):
+        ids = reference.encode(text, add_special_tokens=False).ids
+        decoded = reference.decode(ids, skip_special_tokens=False)
+        assert got == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+    assert bpe.digests([]) == []
