@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.hashing import Cache
+from docflow.llm.hashing import Cache, releasing
 from docflow.session import ship
 
 ROWS = 1 << 14
@@ -236,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
             size = [10 * len(t.split()) for t in b.column(3).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(size, pa.int64()), pa.array(tokens, pa.binary())], ["doc_id", "label", "fold", "size", "tokens"])
 
-    read = found.mapInArrow(run, "doc_id long, label int, fold long, size long, tokens binary")
+    read = found.mapInArrow(releasing(run), "doc_id long, label int, fold long, size long, tokens binary")
     rows = sorted(read.orderBy(F.xxhash64("doc_id"), "doc_id", "tokens").limit(sample_rows).collect())
     tokens = [np.frombuffer(pa.decompress(bytes(r.tokens), r.size, "zstd", asbytes=True), np.int16).reshape(-1, 5) for r in rows]
     return Model.fit(tokens, np.array([r.label for r in rows], np.float64), np.array([r.fold == CALIBRATE for r in rows], bool))
@@ -253,7 +253,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             p = np.concatenate([np.zeros(0), *scores])
             yield pa.record_batch([b.column(0), b.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), "text").mapInArrow(releasing(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -268,4 +268,4 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
                 part = b.slice(i, 256)
                 yield part.filter(pa.array(model.scores([t or "" for t in part.column(at).to_pylist()], reader) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)

@@ -30,10 +30,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm.hashing import Cache, mix, pack, shingles, unpack
+from docflow.llm.hashing import Cache, mix, pack, released, releasing, shingles, unpack
 from docflow.session import bucket_count, materialize, materialize_buckets, scratch, ship
 
 #: Entries of n-grams in one fragment, about.
@@ -110,7 +110,7 @@ def hashed(docs: DataFrame, k: int) -> DataFrame:
         if sets:
             yield whole(block, sets)
 
-    return docs.select("doc_id", "text").mapInArrow(run, HASHED_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), HASHED_SCHEMA)
 
 
 def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +158,7 @@ def sent_grams(blocks: DataFrame, homes: DataFrame, n_fragments: int) -> DataFra
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["block", "fragment", "size", "steps", "counts"])
 
-    return blocks.groupBy("block").cogroup(homes.groupBy("of_block")).applyInArrow(send, SENT_SCHEMA)
+    return blocks.groupBy("block").cogroup(homes.groupBy("of_block")).applyInArrow(lambda key, left, right: released(send(key, left, right)), SENT_SCHEMA)
 
 
 def frequencies(sent: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def frequencies(sent: DataFrame) -> DataFrame:
         packed = [pack(df[b - n : b] - np.uint64(1)) for b, n in zip(ends, sizes, strict=True)]
         return pa.table({"of_block": table.column("block"), "fragment": table.column("fragment"), "dfs": pa.array(packed, pa.binary())})
 
-    return sent.groupBy("fragment").applyInArrow(count, "of_block long, fragment int, dfs binary")
+    return sent.groupBy("fragment").applyInArrow(lambda table: released(count(table)), "of_block long, fragment int, dfs binary")
 
 
 CANDIDATE_SCHEMA = "c long, n long, m long, parts array<array<long>>, prefix array<long>, bands array<long>"
@@ -236,7 +236,7 @@ def candidates(blocks: DataFrame, homes: DataFrame, dfs: DataFrame, n_fragments:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(longs), longs, longs]
     back = homes.select("of_block", "idx", F.lit(None).cast("int").alias("fragment"), F.lit(None).cast("binary").alias("dfs"))
     back = back.union(dfs.select("of_block", F.lit(None).cast("int"), "fragment", "dfs"))
-    return blocks.groupBy("block").cogroup(back.groupBy("of_block")).applyInArrow(gather, CANDIDATE_SCHEMA)
+    return blocks.groupBy("block").cogroup(back.groupBy("of_block")).applyInArrow(lambda key, left, right: released(gather(key, left, right)), CANDIDATE_SCHEMA)
 
 
 def linked(overlap: Column, nx: Column, ny: Column, num: int, den: int) -> Column:
@@ -256,18 +256,28 @@ def links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.where(linked(overlap, F.col("nx"), F.col("ny"), num, den)).select("x", "y")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def writers(spark: SparkSession, grams: int) -> int:
+    """Tasks that write a narrow table about sets with so many n-grams.
+
+    Shuffle partitions that nobody merges would each become a file, thousands of a few rows over all tables, and every file costs the
+    executors processes (for its mode, where Hadoop's native library is missing) and the driver a listing. Aggregates are merged in
+    their last stage (coalesce); where a frequent key may have been split in it, the rows are dealt out again (repartition).
+    """
+    return max(spark.sparkContext.defaultParallelism, -(-grams // FRAGMENT_GRAMS))
+
+
+def components(edges: DataFrame, files: int) -> DataFrame:
     """v, label: the least vertex of the component of every vertex that has an edge (x, y).
 
     Each round takes the least label around a vertex, then the label of that label; each is written to the shared folder.
     """
-    both = materialize(edges.union(edges.select("y", "x")).toDF("v", "w").distinct(), "edges")
-    labels = materialize(both.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("label")), "labels")
+    both = materialize(edges.union(edges.select("y", "x")).toDF("v", "w").distinct().coalesce(files), "edges")
+    labels = materialize(both.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("label")).coalesce(files), "labels")
     while True:
         around = both.join(labels.select(F.col("v").alias("w"), "label"), "w").groupBy("v").agg(F.min("label").alias("near"))
         closer = labels.join(around, "v").select("v", F.col("label").alias("was"), F.least("label", "near").alias("near"))
         jumped = closer.join(labels.select(F.col("v").alias("near"), F.col("label").alias("far")), "near")
-        new = materialize(jumped.select("v", "was", F.least("near", "far").alias("label")), "labels")
+        new = materialize(jumped.select("v", "was", F.least("near", "far").alias("label")).repartition(files), "labels")
         changed = not new.where("label <> was").isEmpty()
         labels = new.select("v", "label")
         if not changed:
@@ -278,22 +288,22 @@ def postings(sets: DataFrame) -> DataFrame:
     return sets.select("c", "n", "m", *[x for x in sets.columns if x == "label"], F.posexplode("prefix").alias("place", "g"))
 
 
-def star_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
+def star_pairs(sets: DataFrame, num: int, den: int, files: int) -> DataFrame:
     """Each class with the centre that it meets most often."""
     rows = postings(sets)
     centre = rows.groupBy("g").agg(F.min(F.struct((F.col("n") - F.col("m")).alias("own"), "c", "n", "m")).alias("at"), F.count("*").alias("size")).where("size > 1")
-    centre = materialize(centre.select("g", "at"), "centres")  # so that the join is a stage of its own, in which a frequent n-gram can be split
+    centre = materialize(centre.select("g", "at").coalesce(files), "centres")  # so that the join is a stage of its own, in which a frequent n-gram can be split
     met = rows.join(centre, "g").where(F.col("c") != F.col("at.c")).where(linked(F.least("m", "at.m"), F.col("n"), F.col("at.n"), num, den))
     votes = met.groupBy("c", "n", F.col("at.c").alias("y"), F.col("at.n").alias("ny")).agg(F.count("*").alias("votes"))
     best = votes.groupBy("c", "n").agg(F.max(F.struct("votes", "y", "ny")).alias("b"))
     return best.select(F.col("c").alias("x"), F.col("b.y").alias("y"), F.col("n").alias("nx"), F.col("b.ny").alias("ny"))
 
 
-def band_pairs(sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+def band_pairs(sets: DataFrame, labels: DataFrame, num: int, den: int, files: int) -> DataFrame:
     """Each class with the centres of its bands, where these are in other components."""
     keys = _labelled(sets.select("c", "n", "m", "bands"), labels).select("c", "n", "m", "label", F.explode("bands").alias("key"))
     centre = keys.groupBy("key").agg(F.min(F.struct("c", "n", "m", "label")).alias("at"), F.count("*").alias("size")).where("size > 1").select("key", "at")
-    met = keys.join(materialize(centre, "band-centres"), "key").where((F.col("label") != F.col("at.label")) & linked(F.least("m", "at.m"), F.col("n"), F.col("at.n"), num, den))
+    met = keys.join(materialize(centre.coalesce(files), "band-centres"), "key").where((F.col("label") != F.col("at.label")) & linked(F.least("m", "at.m"), F.col("n"), F.col("at.n"), num, den))
     return met.select(F.col("c").alias("x"), F.col("at.c").alias("y"), F.col("n").alias("nx"), F.col("at.n").alias("ny")).distinct()
 
 
@@ -301,12 +311,12 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels.withColumnRenamed("v", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
 
 
-def open_pairs(sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+def open_pairs(sets: DataFrame, labels: DataFrame, num: int, den: int, files: int) -> DataFrame:
     """The pairs that share a prefix n-gram, may be similar enough, and are in different components so far."""
     placed = postings(_labelled(sets.select("c", "n", "m", "prefix"), labels))
     sizes = placed.groupBy("g", "label").agg(F.count("*").alias("size"))
     main = sizes.groupBy("g").agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-    mixed = materialize(placed.join(materialize(main, "main"), "g"), "mixed")
+    mixed = materialize(placed.join(materialize(main.coalesce(files), "main"), "g"), "mixed")
     a, b = mixed.where("label <> main").alias("a"), mixed.alias("b")
     # What two sets share comes no earlier in either than their first common n-gram, so it is no more than what begins there.
     able = linked(F.least(F.col("a.m") - F.col("a.place"), F.col("b.m") - F.col("b.place")), F.col("a.n"), F.col("b.n"), num, den)
@@ -315,26 +325,27 @@ def open_pairs(sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFr
     return met.select(F.col("b.c").alias("x"), F.col("a.c").alias("y"), F.col("b.n").alias("nx"), F.col("a.n").alias("ny")).distinct()
 
 
-def class_labels(blocks: DataFrame, homes: DataFrame, grams: int, num: int, den: int) -> DataFrame:
-    """v, label for each class that is linked with another; grams: the size of all sets."""
+def class_labels(blocks: DataFrame, homes: DataFrame, grams: int, num: int, den: int, files: int) -> DataFrame:
+    """v, label for each class that is linked with another; grams: the size of all sets; files: of each narrow table, about."""
     n = max(1, -(-grams // FRAGMENT_GRAMS))
     dfs = frequencies(sent_grams(blocks, homes, n))
     sets = candidates(blocks, homes, dfs, n, num, den)
     sets = materialize_buckets(sets.repartition(bucket_count(sets.sparkSession), "c"), "candidates", "c")
-    edges = materialize(links(materialize(star_pairs(sets, num, den), "pairs"), sets, num, den), "stars")
-    labels = components(edges)
+    edges = materialize(links(materialize(star_pairs(sets, num, den, files).coalesce(files), "pairs"), sets, num, den).repartition(files), "stars")
+    labels = components(edges, files)
     for step in (band_pairs, open_pairs):
-        pairs = materialize(step(sets, labels, num, den), "pairs")
+        pairs = materialize(step(sets, labels, num, den, files).coalesce(files), "pairs")
         if not pairs.isEmpty():
-            more = materialize(links(pairs, sets, num, den), "links")
+            more = materialize(links(pairs, sets, num, den).repartition(files), "links")
             if not more.isEmpty():
                 edges = edges.union(more)
-                labels = components(edges)
+                labels = components(edges, files)
     return labels
 
 
-def placed_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, fp, root (of the component; null without words), component_id, n_copies for every row of docs."""
+def placed_rows(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, int]:
+    """doc_id, n_shingles, fp, root (of the component; null without words), component_id, n_copies for every row of docs; and the files
+    that a narrow table of these rows is written to, about."""
     spark = docs.sparkSession
     ship(spark)
     with scratch(spark):
@@ -342,20 +353,22 @@ def placed_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         blocks = both.where("sizes is not null").select("block", "sizes", "grams")
         members = both.where("sizes is null")
         rows = materialize(members.select("doc_id", "n_shingles", "fp"), "members", keep=True)
+        files = writers(spark, rows.agg(F.sum("n_shingles")).first()[0] or 0)
         named = members.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"), F.max("n_shingles").alias("n"), F.min(F.struct("block", "idx")).alias("home"))
-        named = materialize(named.select("fp", "least", "n_copies", "n", (F.col("home.block") + F.col("home.idx")).alias("c"), F.col("home.block").alias("of_block"), F.col("home.idx").alias("idx")), "classes")
+        named = materialize(named.select("fp", "least", "n_copies", "n", (F.col("home.block") + F.col("home.idx")).alias("c"), F.col("home.block").alias("of_block"), F.col("home.idx").alias("idx")).coalesce(files), "classes")
         grams = named.agg(F.sum("n")).first()[0] or 0
-        labels = class_labels(blocks, named.select("of_block", "idx"), grams, num, den)
+        labels = class_labels(blocks, named.select("of_block", "idx"), grams, num, den, files)
         placed = _labelled(named.select("c", "fp", "least", "n_copies"), labels).withColumnRenamed("label", "root")
         placed = materialize(placed, "roots", keep=True)
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of = placed.join(ids, "root").select("fp", "root", "component_id", "n_copies")
-    return rows.join(of, "fp", "left").select("doc_id", "n_shingles", "fp", "root", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    out = rows.join(of, "fp", "left").select("doc_id", "n_shingles", "fp", "root", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    return out, files
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, n_copies (rows with the same set), for every row of docs."""
-    return placed_rows(docs, k, num, den).select("doc_id", "n_shingles", "component_id", "n_copies")
+    return placed_rows(docs, k, num, den)[0].select("doc_id", "n_shingles", "component_id", "n_copies")
 
 
 def set_print(k: int):
@@ -378,13 +391,14 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     words all stay, but one of those that repeat doc_id and text.
     """
     with scratch(docs.sparkSession):
-        found = materialize(placed_rows(docs, k, num, den).select("doc_id", "fp", "root"), "components")
+        placed, files = placed_rows(docs, k, num, den)
+        found = materialize(placed.select("doc_id", "fp", "root").repartition(files), "components")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first")
         heads = found.where("root is not null").groupBy("root").agg(first).select("first.doc_id", "first.fp")
         heads = heads.union(found.where("root is null").select("doc_id", "fp").distinct()).toDF("head", "head_fp").withColumn("is_head", F.lit(True))
         ids = found.groupBy("doc_id").agg((F.col("doc_id").isNull() | (F.count("*") > 1)).alias("shared"))
         of = ids.join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left")
-        heads = materialize(of.select("doc_id", "shared", F.col("head_fp"), F.col("is_head").isNotNull().alias("is_head")), "heads", keep=True)
+        heads = materialize(of.select("doc_id", "shared", F.col("head_fp"), F.col("is_head").isNotNull().alias("is_head")).coalesce(files), "heads", keep=True)
     gone = heads.where("doc_id is not null and (shared or not is_head)").select("doc_id").distinct()
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import zlib
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docflow.llm.hashing import Cache
+from docflow.llm.hashing import Cache, releasing
 from docflow.llm.word_bpe import byte_symbols
 from docflow.session import materialize, ship
 
@@ -74,6 +75,10 @@ def load(path: str) -> ByteBpe:
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each text's ids and the end id, cut only where longer than capacity; then every
     piece but the first is full."""
@@ -81,7 +86,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 
     def run(batches):
         bpe, end = load(path), np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = bpe.encode(text or "") + end
@@ -94,7 +99,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
             columns = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECE_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), PIECE_SCHEMA)
 
 
 class _Stock:
@@ -257,4 +262,4 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
                 sequences[of], offsets[of] = first[k] + ranks[of] - begins[k], offset[k]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(sequences), pa.array(offsets)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(assign, PIECE_SCHEMA + ", sequence_id long, offset long")
+    return ranked.mapInArrow(releasing(assign), PIECE_SCHEMA + ", sequence_id long, offset long")

@@ -121,3 +121,28 @@ def test_a_family_of_form_letters_gives_few_pairs(spark, monkeypatch):
         totals.append((classes[-1], sum(pairs)))
     (few, a), (many, b) = totals
     assert b / a < (many / few) ** 1.3
+
+
+def test_narrow_tables_are_few_files_where_partitions_are_not_merged(spark, monkeypatch):
+    files, write = {}, ngram_join.materialize
+
+    def counted(df, name, keep=False):
+        out = write(df, name, keep)
+        files.setdefault(name, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    docs = spark.createDataFrame([(i, t) for i, t in form_letters(600).items()], "doc_id long, text string")
+    want = sorted({c for _, c in brute(form_letters(600), 5, 80, 100).values()})
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert sorted(r.doc_id for r in ngram_join.one_of_each(docs).collect()) == want
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    most = spark.sparkContext.defaultParallelism
+    for name in ("classes", "centres", "pairs", "stars", "edges", "labels", "band-centres", "main", "components", "heads"):
+        assert files[name] and max(files[name]) <= most, name
