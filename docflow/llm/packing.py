@@ -13,15 +13,15 @@ import json
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docflow.llm.hashing import Cache, releasing
+from docflow.llm.hashing import releasing
 from docflow.llm.word_bpe import byte_symbols
 from docflow.session import materialize, ship
 
@@ -36,8 +36,8 @@ _loaded: dict[str, ByteBpe] = {}
 class ByteBpe:
     """Ids of the byte-level BPE of a tokenizers JSON file as little-endian unsigned 32-bit integers.
 
-    A text is cut before each single space that has no white space beside it on one side at least: there a pre-token begins in any
-    case. Such parts recur, so each is encoded once for a worker's bounded cache.
+    Whole texts go to tiktoken. A cache of parts costs more than it saves: many words of a corpus occur once. The pattern's search
+    gives up on a run of about a million white-space characters; such a text goes to the tokenizers library, which is slower.
     """
 
     #: Fixed value: the pre-token pattern of byte-level BPE.
@@ -47,23 +47,26 @@ class ByteBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         byte_of = {s: b for b, s in enumerate(byte_symbols())}
+        self.path = path
         self.specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
         ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.specials}
         self.encoding = tiktoken.Encoding("file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=self.specials)
-        self.wide_space = regex.compile(r"\s \s")
-        self.parts = Cache(self._ids, 100_000)
 
-    def _ids(self, part: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(part), "<u4").tobytes()
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer  # hardly any task needs it
+
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.specials):
-            return np.array(self.encoding.encode(text, allowed_special="all"), "<u4").tobytes()
-        if self.wide_space.search(text):
-            return self._ids(text)
-        first, *rest = text.split(" ")
-        parts = self.parts
-        return (parts[first] if first else b"") + b"".join([parts[" " + x] for x in rest])
+        try:
+            ids = self.encoding.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # the search gave up
+            ids = np.array(self.library.encode(text, add_special_tokens=False).ids)
+        return ids.astype("<u4", copy=False).tobytes()
 
 
 def load(path: str) -> ByteBpe:

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -56,6 +57,28 @@ def test_odd_texts(spark):
     assert len(twice) == 2 * packing.pieces(docs, PATH, 64).count()
 
 
+def test_a_long_run_of_white_space_is_encoded():
+    reference = Tokenizer.from_file(PATH)
+    for text in (" " * 1_100_000 + "x", "a" + " \t" * 600_000, "<|endoftext|> y" + " " * 1_100_000 + "<|endoftext|>"):
+        assert packing.load(PATH).encode(text) == np.array(reference.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_words_that_occur_once_cost_no_more_than_the_encoder_takes():
+    rng, bpe = random.Random(3), packing.load(PATH)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(300)) for _ in range(1000)]
+
+    def least(encode):
+        spent = []
+        for _ in range(3):
+            begun = time.process_time()
+            for t in texts:
+                encode(t)
+            spent.append(time.process_time() - begun)
+        return min(spent)
+
+    assert least(bpe.encode) < 1.6 * least(lambda t: bpe.encoding.encode_to_numpy(t, allowed_special="all"))
+
+
 def fewest(items, capacity):
     """Exact number of bins by search over subsets."""
     n = len(items)
