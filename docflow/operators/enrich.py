@@ -4,17 +4,24 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 from functools import reduce
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docflow.functions.substrings import SHORTEST, Substrings
 from docflow.functions.text import normalize
-from docflow.session import materialize
+from docflow.session import materialize, ship
 
 THRESHOLD, PAGE_TOLERANCE, ACCEPTED = 0.7, 2, 0.3
 FUZZY_ELEMENTS, PAGE_ELEMENTS = 50, 20
 SHORT, MOST_ELEMENTS = 5, 3000
+#: Characters of a document's elements that one task holds as an index.
+ELEMENT_CHARS = 1 << 26
 
 
 def match_exact(chunks: DataFrame, elements: DataFrame) -> DataFrame:
@@ -24,12 +31,48 @@ def match_exact(chunks: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def match_contains(chunks: DataFrame, elements: DataFrame) -> DataFrame:
-    """The first element that the chunk contains, of 10 to max(half the chunk, 20) characters; an equi-join on the document first."""
-    c = chunks.withColumn("norm", normalize(F.col("content")))
-    e = elements.withColumn("enorm", normalize(F.col("text"))).select("doc_id", "idx", "enorm")
-    most = F.greatest(F.floor(F.length("norm") / 2), F.lit(20))
-    hit = F.length("enorm").between(F.lit(10), most) & F.contains("norm", F.col("enorm"))
-    return c.join(e, "doc_id").where(hit).groupBy("chunk_id").agg(F.min("idx").alias("idx")).select("chunk_id", "idx", F.lit("content_contains").alias("method"), F.lit(0.9).alias("confidence"))
+    """The first element that the chunk contains, of 10 to max(half the chunk, 20) characters.
+
+    Distinct elements of a document are held as one index (functions/substrings), in parts of ELEMENT_CHARS, and its chunks pass by in
+    a stream, so that the work grows with the characters and not with chunks times elements.
+    """
+    spark = chunks.sparkSession
+    ship(spark)
+    norm = normalize(F.col("text"))
+    e = elements.select("doc_id", "idx", norm.alias("norm")).where(F.length("norm") >= SHORTEST).groupBy("doc_id", "norm").agg(F.min("idx").cast("long").alias("idx"))
+    most = elements.groupBy("doc_id").agg(F.sum(F.length("text")).alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = 1 + most // ELEMENT_CHARS
+    e = e.select("doc_id", F.pmod(F.xxhash64("norm"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), "norm", "idx", F.lit(None).cast(chunks.schema["chunk_id"].dataType).alias("chunk_id"))
+    c = chunks.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), normalize(F.col("content")).alias("norm"), F.lit(None).cast("long").alias("idx"), "chunk_id")
+    rows = e.union(c.where(F.col("norm").isNotNull() & F.col("doc_id").isNotNull())).repartition("doc_id", "part").sortWithinPartitions("doc_id", "part", "kind")
+
+    def run(batches):
+        key, held, index, idx = None, [], None, None
+        for batch in batches:
+            doc, part, kind = (batch.column(i) for i in range(3))
+            change = np.flatnonzero(np.diff(doc.dictionary_encode().indices.to_numpy()) | np.diff(part.to_numpy()) | np.diff(kind.to_numpy())) + 1
+            for a, b in pairwise([0, *change.tolist(), batch.num_rows]):
+                if b == a:
+                    continue
+                if (now := (doc[a].as_py(), part[a].as_py())) != key:
+                    key, held, index = now, [], None
+                rows = batch.slice(a, b - a)
+                if kind[a].as_py() == 0:
+                    held.append(rows.select([3, 4]))
+                elif held:
+                    table = pa.Table.from_batches(held)
+                    if index is None:
+                        table = table.sort_by("idx").combine_chunks()
+                        idx, index = table.column("idx").to_numpy(), Substrings(table.column("norm").combine_chunks())
+                        held = held[:1]
+                    longest = np.maximum(pc.utf8_length(rows.column(3)).to_numpy() // 2, 20)
+                    found = index.first(rows.column(3), longest)
+                    hit = np.flatnonzero(found >= 0)
+                    if len(hit):
+                        yield pa.RecordBatch.from_arrays([rows.column(5).take(pa.array(hit)), pa.array(idx[found[hit]])], ["chunk_id", "idx"])
+
+    found = rows.mapInArrow(run, f"chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, idx long")
+    return found.groupBy("chunk_id").agg(F.min("idx").cast(elements.schema["idx"].dataType).alias("idx")).select("chunk_id", "idx", F.lit("content_contains").alias("method"), F.lit(0.9).alias("confidence"))
 
 
 def match_fuzzy(chunks: DataFrame, elements: DataFrame) -> DataFrame:
