@@ -31,9 +31,15 @@ def within_budget(rows: DataFrame, tokens: Column, max_tokens: int = 4000, by: t
     return rows.withColumn("tokens", tokens).withColumn("running_tokens", F.sum("tokens").over(w)).where(F.col("running_tokens") <= max_tokens)
 
 
+def three_digits(score: Column) -> Column:
+    """As printf("%.3f") rounds, by the value that the double has: 0.4165 is a little less than that. Java's formatter rounds the shortest
+    decimal text up, and its DecimalFormat takes 0.0005 for a tie."""
+    return F.when(score.isNotNull(), F.pandas_udf(lambda s: s.map("{:.3f}".format), "string")(score.cast("double"))).otherwise("null")
+
+
 def format_chunk(position: Column, source: Column, section: Column, score: Column, content: Column) -> Column:
     """P34."""
-    return F.concat(F.format_string("Document %d:\n(Source: %s | Section: %s | Relevance: %.3f)\n", position, source, section, score), content)
+    return F.concat(F.format_string("Document %d:\n(Source: %s | Section: %s | Relevance: %s)\n", position, source, section, three_digits(score)), content)
 
 
 def build_context(ranked: DataFrame, max_tokens: int = 4000) -> DataFrame:
