@@ -207,7 +207,7 @@ ELEMENTS = "SELECT doc_id % 97 AS doc_id, CAST(row_number() OVER (PARTITION BY d
 
 def parts(spark, sf):
     d = docs(spark, sf)
-    return d.select(F.col("doc_id").cast("string").alias("chunk_id"), (F.col("doc_id") % 97).alias("doc_id"), F.when((F.col("doc_id") % 3 == 0) & (F.col("lang") == "en"), F.upper(F.get(F.split("text", "\n"), 0))).otherwise(F.col("text")).alias("content"), (F.col("doc_id") % 10).cast("int").alias("page"))
+    return d.select(F.col("doc_id").cast("string").alias("chunk_id"), (F.col("doc_id") % 97).alias("doc_id"), F.when((F.col("doc_id") % 3 == 0) & (F.col("lang") == "en"), t.upper(F.get(F.split("text", "\n"), 0))).otherwise(F.col("text")).alias("content"), (F.col("doc_id") % 10).cast("int").alias("page"))
 
 
 PARTS = "SELECT CAST(doc_id AS VARCHAR) AS chunk_id, doc_id % 97 AS doc_id, CASE WHEN doc_id % 3 = 0 AND lang = 'en' THEN upper(string_split(text, chr(10))[1]) ELSE text END AS content, CAST(doc_id % 10 AS INTEGER) AS page FROM documents"
