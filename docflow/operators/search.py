@@ -11,11 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docflow.config import IndexConfig, SearchConfig
-from docflow.functions.text import words
+from docflow.functions import nearest
+from docflow.functions.text import lower, words
 from docflow.functions.vectors import cosine, inner_product
+from docflow.session import ship
 
 #: Queries by which the recall of an index is measured, at most.
 RECALL_QUERIES = 256
+#: Rows and queries of a block, of which the best go on, and of one whose pairs are all kept; about as many, as rows are dealt by hash.
+BLOCK_VECTORS, BLOCK_QUERIES = 16_384, 8_192
+PAIR_VECTORS, PAIR_QUERIES = 4_096, 256
 
 
 def score_pairs(queries: DataFrame, data: DataFrame, metric: Callable[[Column, Column], Column] = inner_product, digits: int = 6, max_broadcast: int = SearchConfig.max_broadcast_queries) -> DataFrame:
@@ -32,9 +37,39 @@ def top_k(scored: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def by_blocks(queries: DataFrame, data: DataFrame, run: Callable, parts: int, groups: int, on: list[str] | None = None) -> DataFrame:
+    """query_id, vec_id, score from run(rows of data, queries), which gets each part of the data with each group of the queries once;
+    within equal values of `on` if there are any. So a task holds one part and one group."""
+    ship(data.sparkSession)
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    keys = [*(on or []), "_part", "_group"]
+    d = data.withColumn("_part", deal("vec_id", parts)).withColumn("_group", each(groups))
+    q = queries.withColumn("_group", deal("query_id", groups)).withColumn("_part", each(parts))
+    kind = lambda frame, c: frame.schema[c].dataType.simpleString()
+    return d.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(run, f"query_id {kind(queries, 'query_id')}, vec_id {kind(data, 'vec_id')}, score double")
+
+
 def batch_search(queries: DataFrame, data: DataFrame, k: int = 10, metric: Callable = inner_product, exclude_self: bool = False) -> DataFrame:
-    scored = score_pairs(queries, data, metric)
-    return top_k(scored.where(F.col("query_id") != F.col("vec_id")) if exclude_self else scored, k)
+    """The k best rows of data (vec_id, embedding) for each query (query_id, q), exactly. Inner products and cosines come from matrix
+    products of blocks (functions/nearest), and only the k best of each block go on; other metrics score all pairs."""
+    if metric not in (inner_product, cosine) or set(data.columns) != {"vec_id", "embedding"} or set(queries.columns) != {"query_id", "q"}:
+        scored = score_pairs(queries, data, metric)
+        return top_k(scored.where(F.col("query_id") != F.col("vec_id")) if exclude_self else scored, k)
+    parts, groups = 1 + data.count() // BLOCK_VECTORS, 1 + queries.count() // BLOCK_QUERIES
+    return top_k(best_in_blocks(queries, data, k, metric is cosine, exclude_self, parts, groups), k)
+
+
+def best_in_blocks(queries: DataFrame, data: DataFrame, k: int, cosine: bool, exclude_self: bool, parts: int, groups: int, on: list[str] | None = None) -> DataFrame:
+    asked = queries.withColumn("own", F.col("query_id").cast(data.schema["vec_id"].dataType)) if exclude_self else queries
+    return by_blocks(asked, data, lambda d, q: nearest.best(d, q, k, cosine, exclude_self), parts, groups, on)
+
+
+def all_products(queries: DataFrame, data: DataFrame) -> DataFrame:
+    """query_id, vec_id, score: the inner product of every query with every row of data. The result is as large as their product; a task
+    holds the pairs of one block."""
+    parts, groups = 1 + data.count() // PAIR_VECTORS, 1 + queries.count() // PAIR_QUERIES
+    return by_blocks(queries, data, lambda d, q: nearest.every(d, q), parts, groups)
 
 
 def with_min_similarity(ranked: DataFrame, least: float) -> DataFrame:
@@ -73,16 +108,17 @@ def with_recall(indexed: DataFrame, centers: list, queries: DataFrame, k: int, c
 
 
 def probe(indexed: DataFrame, centers: list, queries: DataFrame, k: int, config: IndexConfig) -> DataFrame:
-    """Approximate top-k: only rows in the n_probe cells with the best centres are scored, an equi-join on the cell."""
+    """Approximate top-k: only rows in the n_probe cells with the best centres are scored, in blocks of one cell."""
     near = near_cells(indexed.sparkSession, centers, queries)
     wanted = near.where(F.col("near") <= config.n_probe).select("query_id", "q", "cell")
-    scored = indexed.join(wanted, "cell").withColumn("score", F.round(inner_product(F.col("embedding"), F.col("q")), 6))
-    return top_k(scored.select("query_id", "vec_id", "score"), k)
+    largest = indexed.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
+    parts, groups = 1 + largest // BLOCK_VECTORS, 1 + queries.count() // BLOCK_QUERIES
+    return top_k(best_in_blocks(wanted, indexed.select("vec_id", "embedding", "cell"), k, False, False, parts, groups, ["cell"]), k)
 
 
 def lexical_score(query: Column, content: Column) -> Column:
     """The offline re-ranker: the share of the query's distinct words that the content has, times 10, less 5."""
-    q, c = F.array_distinct(words(F.lower(query))), words(F.lower(content))
+    q, c = F.array_distinct(words(lower(query))), words(lower(content))
     return F.coalesce(F.size(F.array_intersect(q, c)) / F.when(F.size(q) > 0, F.size(q)), F.lit(0.0)) * 10 - 5
 
 
@@ -115,4 +151,4 @@ def two_stage(queries: DataFrame, data: DataFrame, contents: DataFrame, config:
     return keep_first(best, ["query_id", "chunk_key"], [F.col("final_rank")])
 
 
-__all__ = ["batch_search", "build_index", "cosine", "keep_first", "lexical_score", "probe", "rerank", "score_pairs", "top_k", "two_stage", "with_min_similarity", "with_recall"]
+__all__ = ["all_products", "batch_search", "build_index", "cosine", "keep_first", "lexical_score", "probe", "rerank", "score_pairs", "top_k", "two_stage", "with_min_similarity", "with_recall"]
