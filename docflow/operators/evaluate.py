@@ -24,17 +24,42 @@ def per_query(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = EVALUATION
 
     Gains are linear, discounted by log2(rank + 1); average precision divides by the number of relevant documents.
     """
-    spark = run.sparkSession
     judged = judged_queries(qrels)
-    depths = spark.createDataFrame([(k,) for k in ks], "k int")
-    hits = run.join(judged.select("query_id"), "query_id", "left_semi").join(qrels, ["query_id", "doc_id"], "left").withColumn("gain", F.greatest(F.coalesce("relevance", F.lit(0)), F.lit(0)))
+    hits = run.join(judged.select("query_id"), "query_id", "left_semi").join(qrels, ["query_id", "doc_id"], "left")
+    return measures(hits, judged, ideal_gains(qrels, max(ks)), ks)
+
+
+def per_query_by_class(run: DataFrame, queries: DataFrame, docs: DataFrame, ks: tuple[int, ...] = EVALUATION_DEPTHS) -> DataFrame:
+    """As per_query, where the documents of a query's class are its judgements: queries (query_id, class), docs (doc_id, class,
+    relevance), without the one whose doc_id is query_id.
+
+    These judgements are about queries times documents. So each class is counted and its best documents are found once; of a query's
+    own document only the relevance is taken off.
+    """
+    relevant = docs.where((F.col("relevance") > 0) & F.col("class").isNotNull())
+    own = relevant.select(F.col("doc_id").alias("query_id"), "class", F.lit(1).alias("own"))
+    counts = queries.join(relevant.groupBy("class").agg(F.count("*").alias("n")), "class").join(own, ["query_id", "class"], "left")
+    judged = counts.select("query_id", (F.col("n") - F.coalesce("own", F.lit(0))).alias("n_relevant")).where(F.col("n_relevant") > 0)
+    best = Window.partitionBy("class").orderBy(F.desc("relevance"), "doc_id")
+    top = relevant.withColumn("n", F.row_number().over(best)).where(F.col("n") <= max(ks) + 1)
+    ideal = ideal_gains(queries.join(top, "class").where(F.col("query_id") != F.col("doc_id")).select("query_id", "doc_id", "relevance"), max(ks))
+    hits = run.join(judged.select("query_id"), "query_id", "left_semi").join(queries, "query_id").withColumnRenamed("class", "asked")
+    gains = F.when((F.col("asked") == F.col("class")) & (F.col("query_id") != F.col("doc_id")), F.col("relevance"))
+    hits = hits.join(docs.select("doc_id", "class", "relevance"), "doc_id", "left").withColumn("relevance", gains)
+    return measures(hits, judged, ideal, ks)
+
+
+def measures(hits: DataFrame, judged: DataFrame, ideal: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """From the results of judged queries with their relevance (null: not judged), the numbers of relevant documents, the ideal gains."""
+    depths = hits.sparkSession.createDataFrame([(k,) for k in ks], "k int")
+    hits = hits.withColumn("gain", F.greatest(F.coalesce("relevance", F.lit(0)), F.lit(0)))
     order = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hits = hits.withColumn("hit", (F.col("gain") > 0).cast("int")).withColumn("so_far", F.sum("hit").over(order))
     discount = F.log2(F.col("rank") + 1)
     at = hits.crossJoin(F.broadcast(depths)).where(F.col("rank") <= F.col("k")).groupBy("query_id", "k").agg(
         F.sum("hit").alias("hits"), F.sum(F.col("gain") / discount).alias("dcg"), F.sum(F.when(F.col("hit") == 1, F.col("so_far") / F.col("rank")).otherwise(0.0)).alias("precisions")
     )
-    ideal = ideal_gains(qrels, max(ks)).crossJoin(F.broadcast(depths)).where(F.col("ideal_rank") <= F.col("k"))
+    ideal = ideal.crossJoin(F.broadcast(depths)).where(F.col("ideal_rank") <= F.col("k"))
     ideal = ideal.groupBy("query_id", "k").agg(F.sum(F.col("relevance") / F.log2(F.col("ideal_rank") + 1)).alias("idcg"))
     every = judged.crossJoin(F.broadcast(depths)).join(at, ["query_id", "k"], "left").join(ideal, ["query_id", "k"], "left").fillna(0, ["hits", "dcg", "precisions", "idcg"])
     return every.select(
@@ -45,8 +70,12 @@ def per_query(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = EVALUATION
 
 def evaluate(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = EVALUATION_DEPTHS) -> DataFrame:
     """The means over judged queries, one row for each depth."""
-    means = [F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "ndcg")]
-    return per_query(run, qrels, ks).groupBy("k").agg(*means, F.round(F.avg("ap"), 6).alias("map"))
+    return means(per_query(run, qrels, ks))
+
+
+def means(measured: DataFrame) -> DataFrame:
+    columns = [F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "ndcg")]
+    return measured.groupBy("k").agg(*columns, F.round(F.avg("ap"), 6).alias("map"))
 
 
 def run_map(run: DataFrame) -> DataFrame:
