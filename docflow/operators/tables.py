@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,23 +35,42 @@ def rows_to_markdown(rows: DataFrame, header: list[str], order: str) -> DataFram
 
 def pack_rows(rows: DataFrame) -> DataFrame:
     """Rows (table_id, row_index, line, tokens; row 0 is the header, with its separator) to parts: one if all fit into 512 tokens,
-    else the header repeated and rows packed to 450. A fold over each table's rows; table_id, part, n_parts, content."""
-    xs = F.sort_array(F.collect_list(F.struct("row_index", "line", "tokens")))
-    each = rows.groupBy("table_id").agg(F.sum("tokens").alias("total"), xs.alias("xs"))
-    head, body = F.get("xs", 0), F.slice("xs", 2, F.size("xs"))
-    room = F.when(F.col("total") <= SINGLE, F.lit(1 << 30)).otherwise(PART - head["tokens"])
-
-    def fold(acc: Column, x: Column) -> Column:
-        full = (acc["held"] > 0) & (acc["held"] + x["tokens"] > acc["room"])
-        part = F.when(full, acc["part"] + 1).otherwise(acc["part"])
-        return F.struct(acc["room"].alias("room"), F.when(full, x["tokens"]).otherwise(acc["held"] + x["tokens"]).alias("held"), part.alias("part"), F.concat(acc["out"], F.array(F.struct(part.alias("part"), x["row_index"].cast("long").alias("row_index"), x["line"].alias("line")))).alias("out"))
-
-    start = F.struct(room.cast("int").alias("room"), F.lit(0).alias("held"), F.lit(1).alias("part"), F.array().cast("array<struct<part:int,row_index:bigint,line:string>>").alias("out"))
-    folded = each.select("table_id", head["line"].alias("head"), F.aggregate(body, start, fold)["out"].alias("out"))
-    flat = folded.select("table_id", "head", F.inline_outer("out"))
-    parts = flat.groupBy("table_id", "head", F.coalesce("part", F.lit(1)).alias("part")).agg(F.sort_array(F.collect_list(F.struct("row_index", "line")))["line"].alias("lines"))
+    else the header repeated and rows packed to 450; null tokens count as 0. table_id, part, n_parts, content.
+
+    The rows of a table pass in order, so that a task holds one part at a time and the work grows with the rows.
+    """
+    total = F.coalesce(F.sum("tokens").over(Window.partitionBy("table_id")), F.lit(0)).cast("long")
+    ordered = rows.select("table_id", "row_index", "line", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), total.alias("total"))
+    ordered = ordered.repartition("table_id").sortWithinPartitions("table_id", "row_index", "line", "tokens")
+    kind = rows.schema["table_id"].dataType.simpleString()
+
+    def run(batches):
+        begun, table, head, lines, room, held, part = False, None, None, [], 0, 0, 1
+        for batch in batches:
+            out = []
+            for t, line, tokens, total in zip(*(batch.column(c).to_pylist() for c in ("table_id", "line", "tokens", "total")), strict=True):
+                if not begun or t != table:
+                    if begun:
+                        out.append((table, part, "\n".join([*head, *lines])))
+                    begun, table, head, lines, held, part = True, t, [] if line is None else [line], [], 0, 1
+                    room = 1 << 62 if total <= SINGLE else PART - tokens
+                    continue
+                if held > 0 and held + tokens > room:
+                    out.append((table, part, "\n".join([*head, *lines])))
+                    lines, held, part = [], 0, part + 1
+                held += tokens
+                if line is not None:
+                    lines.append(line)
+            yield packed(out, batch.schema.field("table_id").type)
+        if begun:
+            yield packed([(table, part, "\n".join([*head, *lines]))], batch.schema.field("table_id").type)
+
+    def packed(out, key):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], c) for i, c in enumerate((key, pa.int32(), pa.string()))], ["table_id", "part", "content"])
+
+    parts = ordered.mapInArrow(run, f"table_id {kind}, part int, content string")
     n = F.count("*").over(Window.partitionBy("table_id"))
-    return parts.withColumn("n_parts", n.cast("int")).select("table_id", "part", "n_parts", F.array_join(F.concat(F.array("head"), F.array_compact("lines")), "\n").alias("content"))
+    return parts.select("table_id", "part", n.cast("int").alias("n_parts"), "content")
 
 
 def part_title(title: Column, part: Column, n: Column) -> Column:
