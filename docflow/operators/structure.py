@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docflow.functions.text import words
+from docflow.session import ship
+
+# White space as in Java's \s.
+WHITE = " \t\n\x0b\f\r"
+SPACE, LINE_END = re.compile(f"[{WHITE}]+"), re.compile("\n")
+#: Documents whose chunks are lists in Python at once.
+DOCUMENTS = 256
 
 # Patterns of a table of contents.
 KEYWORDS = r"(?i)\b(?:table\s+of\s+contents?|toc|contents?|index|outline|summary|chapter\s+list)\b"
+KEYWORD_SIGNS = ["toc", "content", "index", "outline", "summary", "chapter"]
 DOTTED = r"^(.+?)\.{2,}\s*(\d+)$"
 SPACED = r"^(.+?)\s{3,}(\d+)$"
 PIPED = r"^\|\s*(.+?)\s*\|.*?\|\s*(\d+)\s*\|?$"
@@ -25,7 +39,7 @@ SUBSECTION_WORDS = ["subsection", "appendix", "annex"]
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -56,22 +70,65 @@ def heading_asof(chunks: DataFrame, heads: DataFrame, carried: tuple[str, ...] =
     return both.where("kind = 1").select("doc_id", "chunk_id", "line_number", *[F.col(f"h.{c}").alias(c) for c in carried])
 
 
-def chunk_line(content: Column, text: Column) -> Column:
-    """The line of the text where the chunk begins, by its first five words (its first 50 characters where these are under 10),
-    then the same in the text with single spaces; null where neither is found."""
-    start = F.array_join(F.slice(words(content), 1, 5), " ")
-    probe = F.when(F.length(start) < 10, F.substring(content, 1, 50)).otherwise(start)
-    spaced = F.array_join(words(text), " ")
-    at = F.coalesce(F.nullif(F.position(probe, text), F.lit(0)), F.nullif(F.position(F.array_join(words(probe), " "), spaced), F.lit(0)))
-    before = F.substring(text, F.lit(1), at - 1)
-    return F.length(before) - F.length(F.translate(before, "\n", ""))
+def headings_over(text: str | None, contents: list[str | None]) -> list[tuple[list[str], list[int]] | None]:
+    """T6, T7 for one document: path and levels of the headings over each of its chunks, as headings, heading_paths and heading_asof give
+    them; None in a document without headings.
+
+    A chunk lies where it begins, by its first five words (its first 50 characters where these are under 10), then the same in the text
+    with single spaces; one that is not found lies under the last heading.
+    """
+    at, over, above = [], [], []
+    for n, line in enumerate((text or "").split("\n")):
+        line = line.strip(WHITE)
+        heading = line.lstrip("#")
+        level, heading = len(line) - len(heading), heading.strip(WHITE)
+        if level and heading:
+            while above and above[-1][0] >= level:
+                above.pop()
+            at.append(n)
+            over.append(([*(h for _, h in above[-2:]), heading], [*(n for n, _ in above[-2:]), level]))
+            if level <= MAX_LEVEL:
+                above.append((level, heading))
+    if not at:
+        return [None] * len(contents)
+    ends = [m.start() for m in LINE_END.finditer(text)]
+    spaced, out = None, []
+    for content in contents:
+        found = -1
+        if content is not None:
+            probe = " ".join(w for w in SPACE.split(content.lstrip(WHITE), 5)[:5] if w)
+            probe = content[:50] if len(probe) < 10 else probe
+            found = text.find(probe)
+            if found < 0:
+                spaced = SPACE.sub(" ", text.strip(WHITE)) if spaced is None else spaced
+                found = spaced.find(SPACE.sub(" ", probe.strip(WHITE)))
+        out.append(over[max(0, bisect_right(at, bisect_left(ends, found)) - 1)] if found >= 0 else over[-1])
+    return out
 
 
 def chunk_headings(chunks: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, chunk_id, path and levels of the headings over each chunk (doc_id, chunk_id, content); a chunk that is not found
-    lies under the last heading, a document without headings gives nulls."""
-    placed = chunks.join(docs.select("doc_id", F.col(text).alias("_text")), "doc_id").select("doc_id", "chunk_id", F.coalesce(chunk_line(F.col("content"), F.col("_text")), F.lit(2**31 - 1)).alias("line_number"))
-    return heading_asof(placed, heading_paths(headings(docs, text)), ("path", "levels")).drop("line_number")
+    lies under the last heading, a document without headings gives nulls. The chunks of a document meet its text once, in one row."""
+    ship(docs.sparkSession)
+    together = chunks.groupBy("doc_id").agg(F.collect_list(F.struct("chunk_id", "content")).alias("chunks"))
+    rows = together.join(docs.select("doc_id", F.col(text).alias("text")), "doc_id").select("doc_id", "text", "chunks")
+    kind = lambda frame, c: frame.schema[c].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, DOCUMENTS):
+                part = batch.slice(start, DOCUMENTS)
+                own = part.column(2)
+                n, each = pc.list_value_length(own).to_pylist(), own.flatten()
+                contents, at, over = each.field(1).to_pylist(), 0, []
+                for t, k in zip(part.column(1).to_pylist(), n, strict=True):
+                    over.extend(headings_over(t, contents[at : at + k]))
+                    at += k
+                docs_of = part.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))
+                path, levels = ([None if o is None else o[i] for o in over] for i in range(2))
+                yield pa.RecordBatch.from_arrays([docs_of, each.field(0), pa.array(path, pa.list_(pa.string())), pa.array(levels, pa.list_(pa.int32()))], ["doc_id", "chunk_id", "path", "levels"])
+
+    return rows.mapInArrow(run, f"doc_id {kind(chunks, 'doc_id')}, chunk_id {kind(chunks, 'chunk_id')}, path array<string>, levels array<int>")
 
 
 def heading_paths(heads: DataFrame) -> DataFrame:
@@ -113,14 +170,28 @@ def has_page(line: Column) -> Column:
 
 
 def marked_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, line_number, line, and flags of the first 1,000 lines."""
-    s = trimmed(F.col("line"))
-    filled = s != ""
-    return lines(docs, text).where(F.col("line_number") < FIRST_LINES).select(
-        "doc_id", "line_number", "line", filled.cast("int").alias("filled"), (filled & has_page(s)).cast("int").alias("page"),
-        (filled & ~has_page(s) & s.rlike(STRUCTURE)).cast("int").alias("structure"), (filled & s.rlike(KEYWORDS)).cast("int").alias("keyword"),
-        s.rlike(NUMBERED).cast("int").alias("numbered"),
-    )
+    """doc_id and rows: flags of each of the first 1,000 lines; stop: a section of contents ends there."""
+    flag = lambda c: c.cast("int")
+    trim = F.transform(F.slice(F.split(F.col(text), "\n"), 1, FIRST_LINES), trimmed)
+    # One after another, as each pattern is costly and is looked for once, and only where a plain sign says that it may be there.
+    plain = F.transform(trim, lambda s: F.struct(s.alias("s"), F.lower(s).alias("low"), F.substring(s, -1, 1).between("0", "9").alias("digit")))
+    holds = lambda low, signs: reduce(Column.__or__, [low.contains(w) for w in signs])
+    paged = F.transform(plain, lambda x: F.struct(x["s"].alias("s"), x["low"].alias("low"), x["digit"].alias("digit"), flag(F.when(x["digit"] | x["s"].endswith("|"), has_page(x["s"])).otherwise(False)).alias("page")))
+
+    def structured(x: Column) -> Column:
+        s = x["s"]
+        may = (x["page"] == 0) & (s.startswith("|") | s.startswith("-") | s.startswith("*") | s.startswith("•") | s.contains("..") | (x["digit"] & s.contains(":")) | holds(x["low"], POSITION_WORDS))
+        return F.struct(s.alias("s"), x["low"].alias("low"), x["page"].alias("page"), flag(F.when(may, s.rlike(STRUCTURE)).otherwise(False)).alias("structure"))
+
+    built = F.transform(paged, structured)
+
+    def flags(x: Column) -> Column:
+        s, low = x["s"], x["low"]
+        stop = (s.startswith("#") & ~low.contains("table") & ~low.contains("content")) | ((F.length(s) > LONG_LINE) & (x["page"] == 0) & (x["structure"] == 0))
+        keyword = F.when(holds(low, KEYWORD_SIGNS), s.rlike(KEYWORDS)).otherwise(False)
+        return F.struct(flag(s != "").alias("filled"), x["page"].alias("page"), x["structure"].alias("structure"), flag(keyword).alias("keyword"), flag(s.rlike(NUMBERED)).alias("numbered"), stop.alias("stop"))
+
+    return docs.select("doc_id", F.transform(built, flags).alias("rows"))
 
 
 def density(pages: Column, structures: Column, filled: Column) -> Column:
@@ -132,37 +203,33 @@ def window_size(n: Column) -> Column:
     return F.least(F.lit(15), F.greatest(F.lit(5), F.floor(n / 150).cast("int")))
 
 
+def totals(part: Column, names: tuple[str, ...]) -> Column:
+    """A struct of the sums of these flags over rows."""
+    return F.aggregate(part, F.struct(*[F.lit(0).alias(c) for c in names]), lambda a, x: F.struct(*[(a[c] + x[c]).alias(c) for c in names]))
+
+
+def windows(rows: Column) -> Column:
+    """Structs (start_line, window_lines, score) of a document's windows over the threshold."""
+    n = F.size(rows)
+    w = window_size(n)
+    starts = F.when(n > w, F.sequence(F.lit(0), n - w - 1, F.greatest(F.lit(2), F.floor(w / 2).cast("int")))).otherwise(F.array().cast("array<int>"))
+    summed = F.transform(starts, lambda i: F.struct(i.alias("start_line"), w.alias("window_lines"), totals(F.slice(rows, i + 1, w), ("filled", "page", "structure")).alias("t")))
+    scored = F.transform(summed, lambda x: F.struct(x["start_line"].alias("start_line"), x["window_lines"].alias("window_lines"), F.round(density(x["t"]["page"], x["t"]["structure"], x["t"]["filled"]), 6).alias("score")))
+    return F.filter(scored, lambda x: x["score"] > DENSE)
+
+
 def dense_windows(marked: DataFrame) -> DataFrame:
-    """doc_id, start_line, window_lines, score for windows over the threshold. Running sums replace a join of windows and lines."""
-    doc = Window.partitionBy("doc_id")
-    upto = doc.orderBy("line_number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = marked.withColumn("n", F.count("*").over(doc)).withColumn("w", window_size(F.col("n")))
-    for c in ("filled", "page", "structure"):
-        sums = sums.withColumn(f"sum_{c}", F.sum(c).over(upto))
-    # The window [i, i + w) ends at line i + w - 1, so its sums are found by looking w - 1 lines ahead; the lines read bound w.
-    ahead = doc.orderBy("line_number")
-    for c in ("filled", "page", "structure"):
-        end = F.lit(None).cast("long")
-        for w in range(5, min(15, max(5, FIRST_LINES // 150)) + 1):
-            end = F.when(F.col("w") == w, F.lead(f"sum_{c}", w - 1).over(ahead)).otherwise(end)
-        sums = sums.withColumn(f"in_{c}", end - F.col(f"sum_{c}") + F.col(c))
-    step = F.greatest(F.lit(2), F.floor(F.col("w") / 2).cast("int"))
-    starts = sums.where((F.col("line_number") < F.col("n") - F.col("w")) & (F.col("line_number") % step == 0))
-    scored = starts.select("doc_id", F.col("line_number").alias("start_line"), F.col("w").alias("window_lines"), F.round(density(F.col("in_page"), F.col("in_structure"), F.col("in_filled")), 6).alias("score"))
-    return scored.where(F.col("score") > DENSE)
+    """doc_id, start_line, window_lines, score of windows over the threshold, without a shuffle."""
+    # Not inline: Spark would look for empty arrays first, and make them twice.
+    return marked.select("doc_id", F.inline_outer(windows(F.col("rows")))).where(F.col("start_line").isNotNull())
 
 
 def section_end(rows: Column, start: Column) -> Column:
-    """Rows are the structs (line, filled, page, structure) of a document; the line where the section from start ends."""
+    """The line where the section from start ends."""
 
     def step(acc: Column, x: Column) -> Column:
-        s = trimmed(x["line"])
         blank = F.when(x["filled"] == 0, acc["blank"] + 1).otherwise(0)
-        stop = (x["filled"] == 1) & (
-            (s.startswith("#") & ~F.lower(s).contains("table") & ~F.lower(s).contains("content"))
-            | ((F.length(s) > LONG_LINE) & (x["page"] == 0) & (x["structure"] == 0))
-        )
-        done = acc["done"] | stop | (blank >= BLANK_LINES)
+        done = acc["done"] | x["stop"] | (blank >= BLANK_LINES)
         return F.struct(F.when(done, acc["end"]).otherwise(acc["end"] + 1).alias("end"), blank.alias("blank"), done.alias("done"))
 
     first = F.struct((start + 1).alias("end"), F.lit(0).alias("blank"), F.lit(False).alias("done"))
@@ -170,17 +237,20 @@ def section_end(rows: Column, start: Column) -> Column:
 
 
 def toc_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Phases 1 and 2: doc_id, start_line, end_line, score, reason of sections opened by a keyword or by density."""
-    marked = marked_lines(docs, text)
-    whole = marked.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_number", "line", "filled", "page", "structure", "numbered"))).alias("rows"))
-    opened = marked.where("keyword = 1").select("doc_id", F.col("line_number").alias("start_line"), F.lit(KEYWORD_BONUS).alias("bonus"), F.lit("keyword_triggered").alias("reason"), F.lit(None).cast("double").alias("known"))
-    dense = dense_windows(marked).select("doc_id", "start_line", F.lit(0.0).alias("bonus"), F.lit("page_number_density").alias("reason"), F.col("score").alias("known"))
-    cut = opened.union(dense).join(whole, "doc_id").withColumn("end_line", section_end(F.col("rows"), F.col("start_line")))
+    """Phases 1 and 2: doc_id, start_line, end_line, score, reason of sections opened by a keyword or by density. Each document is a row
+    of flags of its lines, so nothing is shuffled and each line is looked at once."""
+    rows = F.col("rows")
+    candidate = lambda start, bonus, reason, known: F.struct(start.alias("start_line"), F.lit(bonus).alias("bonus"), F.lit(reason).alias("reason"), known.cast("double").alias("known"))
+    numbers = F.when(F.size(rows) > 0, F.sequence(F.lit(0), F.size(rows) - 1)).otherwise(F.array().cast("array<int>"))
+    opened = F.transform(F.filter(numbers, lambda i: F.get(rows, i)["keyword"] == 1), lambda i: candidate(i, KEYWORD_BONUS, "keyword_triggered", F.lit(None)))
+    dense = F.transform(windows(rows), lambda x: candidate(x["start_line"], 0.0, "page_number_density", x["score"]))
+    found = marked_lines(docs, text).select("doc_id", "rows", F.inline_outer(F.concat(opened, dense))).where(F.col("start_line").isNotNull())
+    cut = found.withColumn("end_line", section_end(rows, F.col("start_line")))
     part = F.slice("rows", F.col("start_line") + 1, F.greatest(F.col("end_line") - F.col("start_line"), F.lit(0)))
-    total = lambda c: F.aggregate(part, F.lit(0), lambda a, x: a + x[c])
-    own = density(total("page"), total("structure"), total("filled"))
+    cut = cut.withColumn("t", totals(part, ("filled", "page", "structure", "numbered")))
+    own = density(F.col("t.page"), F.col("t.structure"), F.col("t.filled"))
     early = F.when(F.col("start_line") / F.size("rows") < 0.3, EARLY_BONUS).otherwise(0.0)
-    numbered = F.when(total("numbered") >= 2, NUMBERED_BONUS).otherwise(0.0)
+    numbered = F.when(F.col("t.numbered") >= 2, NUMBERED_BONUS).otherwise(0.0)
     score = F.round(F.coalesce("known", own) + F.col("bonus") + early + numbered, 6)
     return cut.where("end_line > start_line").select("doc_id", "start_line", "end_line", score.alias("score"), "reason")
 
